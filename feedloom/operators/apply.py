@@ -139,6 +139,8 @@ def _replay(actions: DataFrame, products: DataFrame) -> DataFrame:
         stored.alias("batch_number"),
         F.lit("stored").alias("action"),
         "row_hash",
+        "last_import_id",
+        "updated_at",
         *[F.struct(F.col(f).alias("v")).alias(f"w_{f}") for f in PRODUCT_FIELDS],
     )
     rows = actions.filter("action <> 'skip'").select(
@@ -149,7 +151,7 @@ def _replay(actions: DataFrame, products: DataFrame) -> DataFrame:
         "row_hash",
         *[_writes(f).alias(f"w_{f}") for f in PRODUCT_FIELDS],
     )
-    return first.unionByName(rows)
+    return first.unionByName(rows, allowMissingColumns=True)
 
 
 def field_changes(actions: DataFrame, products: DataFrame) -> DataFrame:
@@ -187,9 +189,8 @@ def changes_json(changes: DataFrame) -> DataFrame:
     def text(field: str, value: Column) -> Column:
         if field in ("price_cents", "stock"):
             return F.coalesce(value, F.lit("null"))
-        return F.coalesce(
-            F.regexp_extract(F.to_json(F.struct(value.alias("v"))), '(?s)\\A\\{"v":(.*)\\}\\z', 1), F.lit("null")
-        )
+        quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), '(?s)\\A\\{"v":(.*)\\}\\z', 1)
+        return F.when(value.isNull(), F.lit("null")).otherwise(quoted)
 
     def member(c: Column) -> Column:
         shown = F.lit(None).cast("string")
@@ -208,23 +209,23 @@ def changes_json(changes: DataFrame) -> DataFrame:
 def merged_catalog(actions: DataFrame, products: DataFrame, applied_at: Column) -> DataFrame:
     """The catalog after the rows: per field the last written value, hash and import of the last
     writing row; products no row writes to keep everything, `updated_at` included."""
-    replay = _replay(actions, products)
-    kept = products.select(*KEY, "last_import_id", "updated_at").withColumn("_stored", F.lit(True))
     at = F.struct(*ORDER)
     latest = lambda column: F.max(
         F.when(column.isNotNull(), F.struct(at.alias("at"), column.alias("v")))
     )
-    folded = replay.groupBy(*KEY).agg(
+    folded = _replay(actions, products).groupBy(*KEY).agg(
         *[latest(F.col(f"w_{f}")).alias(f"_{f}") for f in PRODUCT_FIELDS],
         F.max(F.struct(*ORDER, "row_hash")).alias("_last"),
+        F.max("last_import_id").alias("_import"),
+        F.max("updated_at").alias("_at"),
     )
     touched = F.col("_last.import_id") > STORED
-    return folded.join(kept, KEY, "left").select(
+    return folded.select(
         *KEY,
         *[F.col(f"_{f}.v.v").alias(f) for f in PRODUCT_FIELDS],
         F.col("_last.row_hash").alias("row_hash"),
-        F.when(touched, F.col("_last.import_id")).otherwise(F.col("last_import_id")).alias("last_import_id"),
-        F.when(touched, applied_at).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(touched, F.col("_last.import_id")).otherwise(F.col("_import")).alias("last_import_id"),
+        F.when(touched, applied_at).otherwise(F.col("_at")).alias("updated_at"),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 1_000_000  # row numbers per block of one import
 BLOCK_IMPORTS = 64  # imports per block of one catalog key
 SPREAD = 16  # copies of a dimension row in a spread join
+BROADCAST_ROWS = 50_000  # rows up to which a dimension of names and numbers is broadcast
 
 
 def block_of(number: str | Column, size: int) -> Column:
@@ -114,3 +115,8 @@ def spread_join(
     salted = rows.withColumn("_salt", F.pmod(salt, F.lit(SPREAD)).cast("int"))
     keys = [on] if isinstance(on, str) else list(on)
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def broadcast_if_small(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast for a cheap-to-count dimension that is small; a bigger one joins by shuffle."""
+    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension

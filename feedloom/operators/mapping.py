@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.hashing import header_signature
-from feedloom.functions.text import js_trim, nfc
+from feedloom.functions.text import REPLACEMENT, js_trim, nfc
 from feedloom.operators.groups import spread_join
 from feedloom.rules import FIELDS, REQUIRED_FIELDS, Rules
 
@@ -101,7 +101,7 @@ def map_columns(records: DataFrame, imports: DataFrame) -> DataFrame:
         "row_number",
         F.size("cells").alias("n_cells"),
         "n_headers",
-        F.contains(F.array_join("cells", ""), F.lit("�")).alias("has_replacement"),
+        F.contains(F.array_join("cells", ""), F.lit(REPLACEMENT)).alias("has_replacement"),
         *[f"col_{f}" for f in FIELDS],
         *raw,
     )
