@@ -48,8 +48,9 @@ def utf16_length(value: Column) -> Column:
 
 
 def longer_than(value: Column, cap: int) -> Column:
-    # A UTF-16 length never exceeds the UTF-8 byte length, so the byte test settles most values.
-    return (F.octet_length(value) > cap) & (utf16_length(value) > cap)
+    # A UTF-16 length never exceeds the UTF-8 byte length, so the byte test settles most values. A
+    # conditional, since both sides of an `and` may be hoisted and computed for every row.
+    return F.when(F.octet_length(value) > cap, utf16_length(value) > cap).otherwise(F.lit(False))
 
 
 def utf16_prefix(value: Column, size: int) -> Column:

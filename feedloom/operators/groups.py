@@ -103,20 +103,27 @@ def previous_written(
     )
 
 
+def is_small(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return dimension.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(dimension: DataFrame) -> DataFrame:
+    """Hint a broadcast for a dimension counted to be small; a bigger one joins by shuffle."""
+    return F.broadcast(dimension) if is_small(dimension) else dimension
+
+
 def spread_join(
     rows: DataFrame, dimension: DataFrame, on: str | Sequence[str], salt: Column, how: str = "inner"
 ) -> DataFrame:
-    """Join rows to one dimension row per key without gathering a hot key in one task.
+    """Join rows to a dimension with one row per key without gathering a hot key in one task.
 
-    Spark still broadcasts the dimension when its size allows; otherwise each key's rows are spread
-    over `SPREAD` sub-keys, against as many copies of the (one) dimension row.
+    A dimension counted to be small is broadcast, so the rows do not move. Beyond that each key's rows
+    are spread over `SPREAD` sub-keys, against as many copies of its dimension row. The dimension is
+    evaluated for the count: pass a stored or staged one.
     """
+    keys = [on] if isinstance(on, str) else list(on)
+    if is_small(dimension):
+        return rows.join(F.broadcast(dimension), keys, how)
     copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     salted = rows.withColumn("_salt", F.pmod(salt, F.lit(SPREAD)).cast("int"))
-    keys = [on] if isinstance(on, str) else list(on)
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def broadcast_if_small(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for a cheap-to-count dimension that is small; a bigger one joins by shuffle."""
-    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension

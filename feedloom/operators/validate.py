@@ -12,6 +12,7 @@ from feedloom.functions.text import excerpt, js_trim, longer_than, normalize_tex
 from feedloom.functions.urls import url_result
 from feedloom.operators.groups import BLOCK_ROWS, block_of, previous_value, spread_join
 from feedloom.rules import LENGTH_CAPS, OPTIONAL_FIELDS, ROW_CAP, Rules
+from feedloom.session import stage
 
 FINDING = "struct<column_name:string,code:string,severity:string,message:string>"
 REPORT_COLUMNS = ("import_id", "phase", "row_number", "column_name", "code", "severity", "message")
@@ -27,10 +28,6 @@ def _finding(column: Column, code: Column | str, message: Column | str, severity
     ).cast(FINDING)
 
 
-def _column_of(field: str) -> Column:
-    return F.coalesce(f"col_{field}", F.lit(field))
-
-
 def _clean(mapped: DataFrame, rules: Rules) -> DataFrame:
     """Normalized text, and the number cells reduced to sign, digits and separators."""
     url = normalize_text if rules.url_text_rules else js_trim
@@ -65,66 +62,66 @@ def _parse(clean: DataFrame) -> DataFrame:
     ).drop("price_parts", "stock_parts")
 
 
-def _findings(rules: Rules) -> Column:
-    """All findings of a row, in the order sku, name, price, stock, lengths, URL, decoding."""
+def _checks(rules: Rules) -> list[tuple[Column, Column]]:
+    """(test, finding) in the order sku, name, price, stock, lengths, URL; a test is never null."""
+    column = lambda f: F.coalesce(f"col_{f}", F.lit(f))
+    required = lambda f, label: _finding(column(f), "missing_required", f"{label} is required")
+
+    def number(field: str, error: Column) -> Column:
+        code = F.concat(F.lit(f"{field}_"), error)
+        return _finding(column(field), code, F.concat(F.lit(f"Invalid {field}: "), error))
+
+    price, stock = F.col("price.error"), F.col("stock_count.error")
     checks = [
-        F.when(F.col(f) == "", _finding(_column_of(f), "missing_required", f"{label} is required"))
-        for f, label in (("sku", "SKU"), ("name", "Name"))
+        (F.col("sku") == "", required("sku", "SKU")),
+        (F.col("name") == "", required("name", "Name")),
+        (F.col("price_blank"), required("price", "Price")),
+        (~F.col("price_blank") & price.isNotNull(), number("price", price)),
+        (~F.col("stock_blank") & stock.isNotNull(), number("stock", stock)),
     ]
-    checks.append(
-        F.when(
-            F.col("price_blank"), _finding(_column_of("price"), "missing_required", "Price is required")
-        ).when(
-            F.col("price.error").isNotNull(),
-            _finding(
-                _column_of("price"),
-                F.concat(F.lit("price_"), F.col("price.error")),
-                F.concat(F.lit("Invalid price: "), F.col("price.error")),
-            ),
-        )
-    )
-    checks.append(
-        F.when(
-            ~F.col("stock_blank") & F.col("stock_count.error").isNotNull(),
-            _finding(
-                _column_of("stock"),
-                F.concat(F.lit("stock_"), F.col("stock_count.error")),
-                F.concat(F.lit("Invalid stock: "), F.col("stock_count.error")),
-            ),
-        )
-    )
     if rules.length_caps:
         for field, cap in LENGTH_CAPS.items():
-            value = F.col("url.value") if field == "image_url" else F.col(field)
+            value = F.coalesce("url.value", F.lit("")) if field == "image_url" else F.col(field)
             message = f"{field} is longer than {cap} characters"
-            checks.append(F.when(longer_than(value, cap), _finding(_column_of(field), "field_too_long", message)))
+            checks.append((longer_than(value, cap), _finding(column(field), "field_too_long", message)))
     if rules.bad_url_is_error:
         message = "Image URL is not an absolute http or https URL"
-        checks.append(
-            F.when(F.col("url.error").isNotNull(), _finding(_column_of("image_url"), "url_invalid", message))
-        )
-    mismatch = F.col("n_cells") != F.col("n_headers")
+        checks.append((F.col("url.error").isNotNull(), _finding(column("image_url"), "url_invalid", message)))
+    return checks
+
+
+def _judge(parsed: DataFrame, rules: Rules) -> DataFrame:
+    """Add `valid` and `findings`. Rows without a fault, nearly all, never build the finding list."""
+    checks = _checks(rules)
+    wrong = checks[0][0]
+    for test, _ in checks[1:]:
+        wrong = wrong | test
+    tested = parsed.withColumns({"mismatch": F.col("n_cells") != F.col("n_headers"), "wrong": wrong})
     shape = _finding(
         F.lit(None).cast("string"),
         "columns_mismatch",
         F.concat(F.lit("Expected "), F.col("n_headers"), F.lit(" columns, got "), F.col("n_cells")),
     )
-    found = F.when(mismatch, F.array(shape)).otherwise(F.array_compact(F.array(*checks)))
-    if not rules.replacement_warning:
-        return found
-    warning = _finding(
-        F.lit(None).cast("string"),
-        "encoding_replacement",
-        "Row contains bytes that could not be decoded",
-        severity="warning",
+    found = (
+        F.when(F.col("mismatch"), F.array(shape))
+        .when(F.col("wrong"), F.array_compact(F.array(*[F.when(test, what) for test, what in checks])))
+        .otherwise(F.array().cast(f"array<{FINDING}>"))
     )
-    return F.when(F.col("has_replacement"), F.array_append(found, warning)).otherwise(found)
+    if rules.replacement_warning:
+        warning = _finding(
+            F.lit(None).cast("string"),
+            "encoding_replacement",
+            "Row contains bytes that could not be decoded",
+            severity="warning",
+        )
+        found = F.when(F.col("has_replacement"), F.concat(found, F.array(warning))).otherwise(found)
+    return tested.withColumns({"findings": found, "valid": ~(F.col("mismatch") | F.col("wrong"))})
 
 
 def validate_rows(mapped: DataFrame, rules: Rules) -> DataFrame:
     """One row per data record: product values, hash, findings, validity, and which optional fields a
     valid row sets (`sets_*`)."""
-    rows = _parse(_clean(mapped, rules)).withColumn("findings", _findings(rules))
+    rows = _judge(_parse(_clean(mapped, rules)), rules)
     is_mapped = {f: F.col(f"col_{f}").isNotNull() for f in OPTIONAL_FIELDS}
     stock = F.col("stock_count.value")
     blank_stock = F.lit(None).cast("bigint") if rules.blank_stock_is_null else F.lit(0).cast("bigint")
@@ -140,7 +137,7 @@ def validate_rows(mapped: DataFrame, rules: Rules) -> DataFrame:
         F.nullif("description", F.lit("")).alias("description"),
         F.nullif("url.value", F.lit("")).alias("image_url"),
         "findings",
-        (~F.exists("findings", lambda f: f["severity"] == "error")).alias("valid"),
+        "valid",
         (F.col("has_replacement") & F.lit(rules.replacement_warning)).alias("has_replacement"),
         *[test.alias(f"sets_{f}") for f, test in is_mapped.items()],
     )
@@ -259,7 +256,7 @@ def row_cap(records: DataFrame, rules: Rules, cap: int = ROW_CAP) -> DataFrame:
 
 def within_cap(records: DataFrame, rules: Rules, cap: int = ROW_CAP) -> DataFrame:
     """Data records of the imports that stay within the row cap; the others fail as a whole."""
-    failed = row_cap(records, rules, cap).filter("state = 'failed'").select("import_id")
+    failed = stage(row_cap(records, rules, cap).filter("state = 'failed'").select("import_id"), "over-cap")
     data = records.filter(~is_blank_record(F.col("cells")))
     return spread_join(data, failed, "import_id", F.col("row_number"), "left_anti")
 

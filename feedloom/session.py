@@ -24,11 +24,22 @@ def build_session(master: str | None = None, app: str = "feedloom", **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in {**DEFAULTS, **RUNTIME, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+# Row rules make wide projections. Generated methods above the JVM's own limit for compiling run
+# interpreted, so Spark is told to split such stages instead.
+RUNTIME = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def configure(spark: SparkSession) -> None:
+    """Settings of this library that a running session still takes."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach; one of our own only where the session names none."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)

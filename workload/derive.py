@@ -18,7 +18,7 @@ from feedloom.operators.groups import block_of, number_rows
 from feedloom.operators.mapping import map_columns
 from feedloom.operators.validate import valid_rows, validate_rows
 from feedloom.rules import CONTRACT, STATES, Rules
-from feedloom.session import new_folder, stage
+from feedloom.session import configure, new_folder, stage
 
 BATCH = 100
 ORDER_BLOCK = 4096  # order keys per numbering block
@@ -44,6 +44,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str, rules: Rules = CONTRACT):
         self.spark, self.folder, self.rules = spark, folder, rules
+        configure(spark)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -140,7 +141,10 @@ class Tables:
 
     @cached_property
     def imports(self) -> DataFrame:
-        """One import per supplier."""
+        """One import per supplier, stored like the table it stands for."""
+        return stage(self._imports(), "imports")
+
+    def _imports(self) -> DataFrame:
         nation = self.read("nation").select("n_nationkey", "n_regionkey")
         supplier = self.read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         import_id = (F.col("s_suppkey") + 1).cast("bigint")

@@ -12,7 +12,7 @@ from feedloom.operators import apply as load
 from feedloom.operators import detect, diff, mapping, validate, views
 from feedloom.plans.load import data_records, load_feeds
 from feedloom.rules import CODED, CONTRACT, FIELDS, OPTIONAL_FIELDS
-from feedloom.session import new_folder
+from feedloom.session import new_folder, stage
 from feedloom.sources import feed, files, report, store
 from feedloom.streaming.jobs import stream_loads, stream_reports
 from workload.derive import APPLIED_AT, BATCH, FILES_PER_IMPORT, HEADERS, Tables
@@ -76,12 +76,12 @@ def feed_preview(t):
 
 @query
 def report_csv(t):
-    return report.report_lines(validate.row_report(t.validated, CONTRACT), CONTRACT)
+    return report.report_lines(validate.row_report(t.staged, CONTRACT), CONTRACT)
 
 
 @query
 def report_csv_coded(t):
-    return report.report_lines(validate.row_report(t.validated, CODED), CODED)
+    return report.report_lines(validate.row_report(t.staged, CODED), CODED)
 
 
 @query
@@ -395,7 +395,7 @@ def v_replacement(t):
 
 @query
 def duplicate_sku(t):
-    return validate.duplicate_findings(validate.duplicate_skus(t.validated), CONTRACT)
+    return validate.duplicate_findings(validate.duplicate_skus(t.staged), CONTRACT)
 
 
 @query
@@ -405,12 +405,12 @@ def normalized_rows(t):
 
 @query
 def row_report(t):
-    return validate.row_report(t.validated, CONTRACT)
+    return validate.row_report(t.staged, CONTRACT)
 
 
 @query
 def row_report_coded(t):
-    return validate.row_report(validate.validate_rows(t.mapped, CODED), CODED)
+    return validate.row_report(stage(validate.validate_rows(t.mapped, CODED), "coded"), CODED)
 
 
 @query
@@ -655,7 +655,8 @@ def load_job(t):
     folder, imports = _arriving(t)
     root = new_folder(t.spark, "store")
     records = data_records(feed.read_feed(t.spark, folder, imports))
-    validated = validate.validate_rows(mapping.map_columns(validate.within_cap(records, CONTRACT), imports), CONTRACT)
+    kept = validate.within_cap(records, CONTRACT)
+    validated = stage(validate.validate_rows(mapping.map_columns(kept, imports), CONTRACT), "validated")
     for _ in range(2):
         load_feeds(t.spark, root, validated, CONTRACT, BATCH, lit(APPLIED_AT).cast("timestamp"))
     return store.read_ledger(t.spark, root)
