@@ -13,7 +13,11 @@ def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def list_feeds(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, size, sha256) of every file; reading stops at the listing when the hash is not used."""
+    """(path, size, sha256) of every file; reading stops at the listing when the hash is not used.
+
+    Spark's readers pass over files without bytes, so such a file shows up as missing in
+    `file_integrity`, not here.
+    """
     return _files(spark, path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("length").alias("size"),
