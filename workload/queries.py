@@ -123,9 +123,15 @@ def detect_encoding_cut(t):
     return cut.select("doc_id", "encoding", F.when(col("encoding") == "utf-8", kept).alias("kept_bytes"))
 
 
+def _counted(t):
+    """At most fifty counts per file and delimiter, written once: exploding them straight away would
+    have the samples cut again for every output column."""
+    return stage(detect.candidate_counts(detect.sampled(t.documents)).select("doc_id", "candidates"), "counts")
+
+
 @query
 def delimiter_histogram(t):
-    found = detect.delimiter_histogram(detect.candidate_counts(detect.sampled(t.documents)), "doc_id")
+    found = detect.delimiter_histogram(_counted(t), "doc_id")
     return found.select(
         "doc_id", "delimiter", col("n_columns").cast("bigint").alias("n_columns"),
         col("n_records").cast("bigint").alias("n_records"),
@@ -134,7 +140,7 @@ def delimiter_histogram(t):
 
 @query
 def delimiter_score(t):
-    scored = detect.delimiter_scores(detect.candidate_counts(detect.sampled(t.documents)))
+    scored = detect.delimiter_scores(_counted(t))
     return scored.select("doc_id", F.explode("scores").alias("s")).select(
         "doc_id", "s.delimiter", col("s.score").cast("bigint").alias("score"),
         col("s.n_columns").cast("bigint").alias("n_columns"),
