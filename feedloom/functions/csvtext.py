@@ -64,15 +64,28 @@ def ends_inside_quotes(line: Column, delimiter: str | Column) -> Column:
     return F.contains(line, F.lit('"')) & found
 
 
-def split_lines(text: Column, delimiter: str) -> Column:
-    """Records of a text held in one value (a bounded sample); quoted cells may span lines."""
+_BREAK = "\\r\\n|\\n|\\r"
+
+
+def _quoted_records(text: Column, delimiter: str) -> Column:
     d = re.escape(delimiter)
     cell = f'(?:{_quoted(delimiter)}|{_unquoted(delimiter)}|"[\\s\\S]*+)'
     # The match always takes at least one character, so no empty record appears after the last.
     record = f"(?=[\\s\\S])({cell}(?:{d}{cell})*+){_END}"
-    quoted = F.regexp_extract_all(text, F.lit(record), F.lit(1))
-    plain = F.split(F.regexp_replace(text, "(?:\\r\\n|\\n|\\r)\\z", ""), "\\r\\n|\\n|\\r", -1)
-    return F.when(~F.contains(text, F.lit('"')), plain).otherwise(quoted)
+    return F.regexp_extract_all(text, F.lit(record), F.lit(1))
+
+
+def split_lines(text: Column, delimiter: str) -> Column:
+    """Records of a text held in one value (a bounded sample); quoted cells may span lines."""
+    plain = F.split(F.regexp_replace(text, f"(?:{_BREAK})\\z", ""), _BREAK, -1)
+    return F.when(~F.contains(text, F.lit('"')), plain).otherwise(_quoted_records(text, delimiter))
+
+
+def first_lines(text: Column, delimiter: str, count: int) -> Column:
+    """The first records of such a text; the rest is not cut up. An empty one may end the list."""
+    plain = F.split(text, _BREAK, count + 1)
+    lines = F.when(~F.contains(text, F.lit('"')), plain).otherwise(_quoted_records(text, delimiter))
+    return F.slice(lines, 1, count)
 
 
 def is_blank_record(cells: Column) -> Column:

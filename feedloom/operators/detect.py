@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.csvtext import split_lines, split_record
+from feedloom.functions.csvtext import first_lines, split_lines, split_record
 from feedloom.functions.encoding import decode_lenient, detect_encoding, sample_of
 from feedloom.functions.text import js_trim
 from feedloom.operators.mapping import read_headers
@@ -26,14 +26,9 @@ def _all_blank(cells: Column) -> Column:
     return js_trim(F.array_join(cells, "")) == ""
 
 
-def _records(text: Column, delimiter: str) -> Column:
-    return F.transform(split_lines(text, delimiter), lambda line: split_record(line, delimiter))
-
-
 def column_counts(text: Column, delimiter: str, records: int = SAMPLE_RECORDS) -> Column:
     """Cells per record for the first records of a sample, blank records left out."""
-    lines = F.slice(split_lines(text, delimiter), 1, records)
-    cells = F.transform(lines, lambda line: split_record(line, delimiter))
+    cells = F.transform(first_lines(text, delimiter, records), lambda line: split_record(line, delimiter))
     return F.transform(F.filter(cells, lambda c: ~_all_blank(c)), F.size)
 
 
@@ -121,8 +116,13 @@ def detect_feeds(files: DataFrame, size: int = SAMPLE_BYTES) -> DataFrame:
 
 def header_cells(text: Column, delimiter: Column) -> Column:
     """Cleaned cells of the first record that is not blank; empty when there is none."""
+
+    def first_filled(lines: Column, d: str) -> Column:
+        return F.get(F.filter(F.transform(lines, lambda line: split_record(line, d)), lambda c: ~_all_blank(c)), F.lit(0))
+
     found = F.lit(None).cast("array<string>")
     for d in DELIMITERS:
-        first = F.get(F.filter(_records(text, d), lambda c: ~_all_blank(c)), F.lit(0))
-        found = F.when(delimiter == d, first).otherwise(found)
+        near = first_filled(first_lines(text, d, SAMPLE_RECORDS), d)
+        # Only a sample that opens with that many blank records is cut up as a whole.
+        found = F.when(delimiter == d, F.coalesce(near, first_filled(split_lines(text, d), d))).otherwise(found)
     return F.coalesce(read_headers(found), F.array().cast("array<string>"))
