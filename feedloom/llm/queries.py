@@ -7,7 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import language_id, secret_scans, token_output, url_filters
+from feedloom.llm import (
+    decontamination,
+    language_id,
+    pii,
+    quality_rules,
+    secret_scans,
+    token_output,
+    url_filters,
+)
 from feedloom.llm.common import new_folder, read_table
 from feedloom.llm.sql import ORACLE
 
@@ -16,6 +24,14 @@ __all__ = ["ORACLE", "QUERIES"]
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(read_table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), BYTE_BPE)
 
@@ -28,14 +44,21 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.secret_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge_urls(read_table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_pii": op3_pii,
     "op5_token_output": op5_token_output,
     "op6_language_id": op6_language_id,
     "op7_secret_scans": op7_secret_scans,
+    "op8_decontamination": op8_decontamination,
     "op10_url_filters": op10_url_filters,
 }

@@ -40,3 +40,50 @@ SELECT k.page_id, k.host, k.path, k.rule,
   coalesce(k.verdict, CASE WHEN b.start IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM keyed k LEFT JOIN blocked b ON b.start = k.key
 """
+
+ORACLE["op8_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t
+  FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t
+  FROM benchmark
+), masks(m, p) AS (VALUES (0, [0, 1, 3, 6, 8, 9]), (1, [0, 2, 3, 4, 7, 9])),
+dp AS (SELECT doc_id, t, unnest(range(0, len(t) - 9)) AS i FROM d WHERE len(t) >= 10),
+bp AS (SELECT item_id, t, unnest(range(0, len(t) - 9)) AS i FROM b WHERE len(t) >= 10),
+ds AS (SELECT doc_id, i, m, list_aggregate([t[i + 1 + j] for j in p], 'string_agg', ' ') AS s FROM dp, masks),
+bs AS (SELECT item_id, i, m, list_aggregate([t[i + 1 + j] for j in p], 'string_agg', ' ') AS s FROM bp, masks),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (m, s)),
+laid AS (
+  SELECT h.doc_id, h.item_id, least(20, len(b.t)) AS w,
+    greatest(0, -shift) AS first, least(len(b.t), len(d.t) - shift) - least(20, len(b.t)) AS last,
+    b.t AS bt, d.t AS dt, shift
+  FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)
+), stretches AS (
+  SELECT doc_id, item_id, w, unnest(range(first, last + 1)) AS s, bt, dt, shift FROM laid WHERE last >= first
+), good AS (
+  SELECT DISTINCT doc_id, item_id FROM stretches
+  WHERE list_sum([CASE WHEN bt[j + 1] = dt[j + 1 + shift] THEN 1 ELSE 0 END for j in range(s, s + w)]) >= ceil(w * 0.8)
+), n AS (SELECT doc_id, count(*) AS n_items FROM good GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n_items, 0) > 0 AS contaminated, coalesce(n.n_items, 0) AS n_items
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+ORACLE["op2_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(t) - 48)) AS i, t FROM w WHERE len(t) >= 50
+), windows AS (
+  SELECT doc_id, i, hash(array_to_string(t[i:i + 49], ' ')) AS h, md5(array_to_string(t[i:i + 49], ' ')) AS g FROM starts
+), firsts AS (SELECT h, g, min(doc_id) AS least FROM windows GROUP BY h, g),
+repeats AS (SELECT doc_id, i FROM windows JOIN firsts USING (h, g) WHERE least < doc_id),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS places FROM repeats GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM w),
+dropped AS (SELECT doc_id, unnest(places) AS i FROM gone),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.t) AS n_words, coalesce(len(gone.places), 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
