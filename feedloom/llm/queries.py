@@ -13,6 +13,7 @@ from feedloom.llm import (
     pii,
     quality_rules,
     secret_scans,
+    substring_dedup,
     token_output,
     url_filters,
 )
@@ -28,6 +29,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,6 +60,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
     "op5_token_output": op5_token_output,
     "op6_language_id": op6_language_id,
