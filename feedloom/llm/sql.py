@@ -87,3 +87,22 @@ kept AS (
 SELECT w.doc_id, len(w.t) AS n_words, coalesce(len(gone.places), 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+ORACLE["op9_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 3, 2))) AS i FROM w WHERE len(t) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k * 10 >= 8 * (x.n + y.n - k)
+), reach(start, node) AS (
+  SELECT a, a FROM links UNION SELECT r.start, l.b FROM reach r JOIN links l ON r.node = l.a
+), classes AS (SELECT start AS doc_id, min(node) AS class_id FROM reach GROUP BY 1),
+counts AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT w.doc_id, coalesce(c.class_id, w.doc_id) AS class_id, coalesce(k.n_links, 0) AS n_links
+FROM w LEFT JOIN classes c USING (doc_id) LEFT JOIN counts k USING (doc_id)
+"""
