@@ -11,6 +11,7 @@ from feedloom.llm import (
     decontamination,
     jaccard_join,
     language_id,
+    piece_encoding,
     pii,
     quality_rules,
     secret_scans,
@@ -23,6 +24,7 @@ from feedloom.llm.sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -38,6 +40,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding.round_trip(read_table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(read_table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), BYTE_BPE)
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
+    "op4_piece_encoding": op4_piece_encoding,
     "op5_token_output": op5_token_output,
     "op6_language_id": op6_language_id,
     "op7_secret_scans": op7_secret_scans,
