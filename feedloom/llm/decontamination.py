@@ -3,7 +3,7 @@
 Fixed masks over ten tokens ignore some positions, so a hash of the others still agrees where a token was
 exchanged. Hashes of all positions of documents and benchmark items are joined; every hit names an item and a
 shift, and around it the overlap is compared token by token. A document is contaminated by an item if some
-stretch of 20 tokens (or the whole item, if shorter) agrees in at least 80 % of its tokens. Only DataFrame
+stretch of 13 tokens (or the whole item, if shorter) agrees in at least 80 % of its tokens. Only DataFrame
 functions run.
 """
 
@@ -18,7 +18,7 @@ from feedloom.llm.common import let, small_enough, stage
 # The positions each mask looks at.
 MASKS = ((0, 1, 3, 6, 8, 9), (0, 2, 3, 4, 7, 9))
 SPAN = 10
-STRETCH = 20
+STRETCH = 13
 SIMILARITY = 0.8
 BROADCAST_SEEDS = 250_000  # hashes of the benchmark (16 bytes each) up to which they are broadcast
 BROADCAST_ITEMS = 2_000  # items up to which their tokens are broadcast, if they are short

@@ -55,8 +55,8 @@ ds AS (SELECT doc_id, i, m, list_aggregate([t[i + 1 + j] for j in p], 'string_ag
 bs AS (SELECT item_id, i, m, list_aggregate([t[i + 1 + j] for j in p], 'string_agg', ' ') AS s FROM bp, masks),
 hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (m, s)),
 laid AS (
-  SELECT h.doc_id, h.item_id, least(20, len(b.t)) AS w,
-    greatest(0, -shift) AS first, least(len(b.t), len(d.t) - shift) - least(20, len(b.t)) AS last,
+  SELECT h.doc_id, h.item_id, least(13, len(b.t)) AS w,
+    greatest(0, -shift) AS first, least(len(b.t), len(d.t) - shift) - least(13, len(b.t)) AS last,
     b.t AS bt, d.t AS dt, shift
   FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)
 ), stretches AS (
