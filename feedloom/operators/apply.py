@@ -23,16 +23,26 @@ from feedloom.rules import BATCH_SIZE, OPTIONAL_FIELDS, PRODUCT_FIELDS
 
 KEY = ["catalog_id", "sku"]
 ORDER = ["import_id", "row_number"]
+LEDGER_BLOCK = 1000  # row numbers per block when rows are looked up in the ledger
 STORED = 0  # import_id and row_number of a stored product inside a replay
 
 
 # --- batches ---------------------------------------------------------------------------------
 
 
-def batch_rows(valid: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Add `batch_number`: valid rows in file order, `batch_size` to a batch."""
+def batch_rows(valid: DataFrame, batch_size: int | Column = BATCH_SIZE) -> DataFrame:
+    """Add `batch_number`: valid rows in file order, `batch_size` to a batch (a number or a column of `valid`)."""
     placed = number_rows(valid, ["import_id"], block_of("row_number", BLOCK_ROWS), ["row_number"], "_place")
-    return placed.withColumn("batch_number", block_of(F.col("_place") - 1, batch_size) + 1).drop("_place")
+    size = F.lit(batch_size) if isinstance(batch_size, int) else batch_size
+    number = F.call_function("div", F.col("_place") - 1, size.cast("bigint")) + 1
+    return placed.withColumn("batch_number", number).drop("_place")
+
+
+def with_batch_size(valid: DataFrame, imports: DataFrame) -> DataFrame:
+    """Add each import's own `batch_size`; the default where it names none."""
+    sizes = imports.select("import_id", "batch_size")
+    joined = spread_join(valid, sizes, "import_id", F.col("row_number"), "left")
+    return joined.withColumn("batch_size", F.coalesce("batch_size", F.lit(BATCH_SIZE).cast("bigint")))
 
 
 def batch_plan(batched: DataFrame) -> DataFrame:
@@ -68,24 +78,34 @@ def ledger_gaps(ledger: DataFrame) -> DataFrame:
     )
 
 
-def not_applied(batched: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows of batches the ledger does not hold yet."""
-    done = ledger.select("import_id", "batch_number").distinct()
-    return spread_join(batched, done, ["import_id", "batch_number"], F.col("row_number"), "left_anti")
+def not_applied(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Rows outside the row ranges of the ledger's batches, whatever size the batches had.
+
+    Ranges are looked up by blocks of row numbers, so that no import's rows meet in one task.
+    """
+    ranges = ledger.select(
+        "import_id",
+        "first_row",
+        "last_row",
+        F.explode(F.sequence(block_of("first_row", LEDGER_BLOCK), block_of("last_row", LEDGER_BLOCK))).alias("_block"),
+    ).withColumnRenamed("import_id", "_import")
+    placed = rows.withColumn("_at", block_of("row_number", LEDGER_BLOCK))
+    inside = (
+        (F.col("import_id") == F.col("_import"))
+        & (F.col("_at") == F.col("_block"))
+        & F.col("row_number").between(F.col("first_row"), F.col("last_row"))
+    )
+    return placed.join(ranges, inside, "left_anti").drop("_at")
 
 
-def resume_rows(valid: DataFrame, ledger: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Rows after the last committed one, batched from the next batch number on."""
-    reached = ledger.groupBy("import_id").agg(
-        F.max("last_row").alias("_row"), F.max("batch_number").alias("_batch")
-    )
-    open_rows = spread_join(valid, reached, "import_id", F.col("row_number"), "left").filter(
-        "row_number > coalesce(_row, 0)"
-    )
+def resume_rows(valid: DataFrame, ledger: DataFrame, batch_size: int | Column = BATCH_SIZE) -> DataFrame:
+    """Rows that no committed batch covers, batched from the next batch number on."""
+    reached = ledger.groupBy("import_id").agg(F.max("batch_number").alias("_batch"))
+    batched = batch_rows(not_applied(valid, ledger), batch_size)
     return (
-        batch_rows(open_rows, batch_size)
+        spread_join(batched, reached, "import_id", F.col("row_number"), "left")
         .withColumn("batch_number", F.col("batch_number") + F.coalesce("_batch", F.lit(0)))
-        .drop("_row", "_batch")
+        .drop("_batch")
     )
 
 

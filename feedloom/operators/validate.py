@@ -10,7 +10,7 @@ from feedloom.functions.hashing import row_hash
 from feedloom.functions.numbers import decimal_parts, number_body, price_result, stock_result
 from feedloom.functions.text import excerpt, js_trim, longer_than, normalize_text
 from feedloom.functions.urls import url_result
-from feedloom.operators.groups import BLOCK_ROWS, block_of, previous_value, spread_join
+from feedloom.operators.groups import BLOCK_ROWS, block_of, number_rows, previous_value, spread_join
 from feedloom.rules import LENGTH_CAPS, OPTIONAL_FIELDS, ROW_CAP, Rules
 from feedloom.session import stage
 
@@ -254,13 +254,54 @@ def row_cap(records: DataFrame, rules: Rules, cap: int = ROW_CAP) -> DataFrame:
     )
 
 
-def within_cap(records: DataFrame, rules: Rules, cap: int = ROW_CAP) -> DataFrame:
-    """Data records of the imports that stay within the row cap; the others fail as a whole."""
-    failed = stage(row_cap(records, rules, cap).filter("state = 'failed'").select("import_id"), "over-cap")
+def within_cap(records: DataFrame, rules: Rules, cap: int | None = None) -> DataFrame:
+    """Data records, by default all of them. With a cap, imports over it are left out as a whole; their
+    outcome (see `import_outcomes`) says so."""
     data = records.filter(~is_blank_record(F.col("cells")))
+    if cap is None:
+        return data
+    failed = stage(row_cap(records, rules, cap).filter("state = 'failed'").select("import_id"), "over-cap")
     return spread_join(data, failed, "import_id", F.col("row_number"), "left_anti")
 
 
+def data_row_numbers(data: DataFrame, rules: Rules) -> DataFrame:
+    """Under the coded rules, number the data rows of an import from 1 without gaps; else keep record numbers."""
+    if not rules.dense_row_numbers:
+        return data
+    dense = number_rows(data, ["import_id"], block_of("row_number", BLOCK_ROWS), ["row_number"], "_data_row")
+    return dense.withColumn("row_number", F.col("_data_row").cast("bigint")).drop("_data_row")
+
+
+def has_mapping(imports: DataFrame) -> DataFrame:
+    return imports.filter(F.coalesce(F.size("mapping"), F.lit(0)) > 0)
+
+
+def import_outcomes(
+    imports: DataFrame, totals: DataFrame, counts: DataFrame, capped: DataFrame | None = None
+) -> DataFrame:
+    """One row for every import: how its validation ended, why, and what it found.
+
+    An import without a mapping, or over the cap it was given, is `failed` with its reason and without
+    numbers; any other is `validated`, with zeros where it has no rows.
+    """
+    unmapped = F.coalesce(F.size("mapping"), F.lit(0)) <= 0
+    ended = imports.select("import_id", unmapped.alias("_unmapped"))
+    if capped is not None:
+        over = capped.filter("state = 'failed'").select("import_id", F.col("pause_reason").alias("_over"))
+        ended = ended.join(over, "import_id", "left")
+    else:
+        ended = ended.withColumn("_over", F.lit(None).cast("string"))
+    ended = ended.withColumn("reason", F.when(F.col("_unmapped"), F.lit("no_mapping")).otherwise(F.col("_over")))
+    joined = ended.join(totals, "import_id", "left").join(counts, "import_id", "left")
+    numbers = ("total_rows", "error_rows", "warning_rows", "would_create", "would_update", "would_skip")
+    return joined.select(
+        "import_id",
+        F.when(F.col("reason").isNull(), F.lit("validated")).otherwise(F.lit("failed")).alias("state"),
+        "reason",
+        *[F.when(F.col("reason").isNull(), F.coalesce(c, F.lit(0).cast("bigint"))).alias(c) for c in numbers],
+    )
+
+
 def replace_report(old: DataFrame, new: DataFrame, imports: DataFrame, rules: Rules) -> DataFrame:
     """The report after validating `imports` again: their earlier findings give way to `new`."""
     again = imports.select("import_id").distinct()
@@ -275,13 +316,15 @@ def page_of_report(
     report: DataFrame, rules: Rules, page: int = 1, per_page: int | None = None,
     severity: str | None = None, code: str | None = None,
 ) -> DataFrame:
-    """One page of findings in row order; narrow `report` to one import first."""
+    """One page of findings in row order, with the number of all of them as `total`; narrow `report` to one
+    import first."""
     size = min(rules.page_max, max(1, per_page or rules.page_size))
     if severity:
         report = report.filter(F.col("severity") == severity)
     if code:
         report = report.filter(F.col("code") == code)
-    ordered = report.orderBy("row_number", "code", "column_name")
-    return ordered.offset((max(1, page) - 1) * size).limit(size)
+    ordered = report.orderBy("row_number", "code", "column_name", "phase", "severity", "message")
+    shown = ordered.offset((max(1, page) - 1) * size).limit(size)
+    return shown.withColumn("total", F.lit(report.count()).cast("bigint"))
 
 

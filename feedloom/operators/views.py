@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.rules import DELIMITERS, ENCODINGS, Rules
+from feedloom.rules import CONTRACT, DELIMITERS, ENCODINGS, Rules
 
 HISTORY_ROWS = 50
 
 
-def _page(df: DataFrame, page: int, size: int) -> DataFrame:
-    return df.offset((max(1, page) - 1) * size).limit(size)
+def _page(df: DataFrame, order: list, rules: Rules, page: int, per_page: int) -> DataFrame:
+    """One page of the rows in order, and how many rows there are as `total`; `rules` bound a page's size."""
+    size = min(rules.page_max, max(1, per_page))
+    shown = df.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
+    return shown.withColumn("total", F.lit(df.count()).cast("bigint"))
 
 
 def page_of_imports(
@@ -22,7 +25,7 @@ def page_of_imports(
         imports = imports.filter(F.col("catalog_id") == catalog_id)
     if state:
         imports = imports.filter(F.col("state") == state)
-    return _page(imports.orderBy(F.desc("import_id")), page, min(200, per_page))
+    return _page(imports, [F.desc("import_id")], rules, page, per_page)
 
 
 def import_history(imports: DataFrame, catalogs: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:
@@ -54,11 +57,12 @@ def page_of_changes(changes: DataFrame, rules: Rules, page: int = 1, per_page: i
     """One page of an import's audit, in the order the rows were applied."""
     if action:
         changes = changes.filter(F.col("action") == action)
-    return _page(changes.orderBy("row_number"), page, min(200, per_page))
+    return _page(changes, ["row_number"], rules, page, per_page)
 
 
 def search_products(
-    products: DataFrame, query: str | None = None, catalog_id: int | None = None, page: int = 1, per_page: int = 50
+    products: DataFrame, query: str | None = None, catalog_id: int | None = None, page: int = 1, per_page: int = 50,
+    rules: Rules = CONTRACT,
 ) -> DataFrame:
     """Case-insensitive substring of SKU or name; the text is taken literally."""
     if catalog_id is not None:
@@ -68,7 +72,7 @@ def search_products(
         products = products.filter(
             F.contains(F.lower("sku"), needle) | F.contains(F.lower("name"), needle)
         )
-    return _page(products.orderBy("catalog_id", "sku"), page, min(200, per_page))
+    return _page(products, ["catalog_id", "sku"], rules, page, per_page)
 
 
 def template_list(templates: DataFrame) -> DataFrame:

@@ -10,24 +10,31 @@ from pyspark.sql import functions as F
 from feedloom.operators.apply import (
     apply_actions,
     batch_ledger,
-    batch_rows,
     changes_json,
     field_changes,
     merged_catalog,
-    not_applied,
+    resume_rows,
+    with_batch_size,
 )
 from feedloom.operators.diff import dry_run, dry_run_counts, last_wins
 from feedloom.operators.mapping import map_columns
+from feedloom.functions.csvtext import is_blank_record
+from feedloom.operators.groups import spread_join
 from feedloom.operators.validate import (
+    data_row_numbers,
+    has_mapping,
+    import_outcomes,
+    row_cap,
     row_report,
     valid_rows,
     validate_rows,
     validation_totals,
     within_cap,
 )
-from feedloom.rules import BATCH_SIZE, ROW_CAP, Rules
+from feedloom.rules import BATCH_SIZE, Rules
 from feedloom.session import stage
 from feedloom.sources import store
+from feedloom.sources.files import file_integrity
 
 
 @dataclass(frozen=True)
@@ -36,25 +43,45 @@ class Validation:
     report: DataFrame
     totals: DataFrame
     counts: DataFrame
+    outcomes: DataFrame
+
+
+def header_rows(records: DataFrame) -> DataFrame:
+    """(import_id, header_row): the first record of each feed that is not blank is its header."""
+    filled = records.filter(~is_blank_record(F.col("cells")))
+    return filled.groupBy("import_id").agg(F.min("row_number").alias("header_row"))
 
 
 def data_records(records: DataFrame) -> DataFrame:
-    """Drop the header record."""
-    return records.filter("row_number > 1")
+    """The records behind the header; detection and preview name the same header."""
+    named = spread_join(records, stage(header_rows(records), "headers"), "import_id", F.col("row_number"))
+    return named.filter("row_number > header_row").drop("header_row")
 
 
 def validate_feeds(
-    records: DataFrame, imports: DataFrame, products: DataFrame, rules: Rules, cap: int = ROW_CAP
+    records: DataFrame, imports: DataFrame, products: DataFrame, rules: Rules, cap: int | None = None
 ) -> Validation:
-    """Parse every record once into a staged table; report, totals and dry run read it from there."""
-    kept = within_cap(data_records(records), rules, cap)
-    validated = stage(validate_rows(map_columns(kept, imports), rules), "validated")
-    actions = dry_run(last_wins(valid_rows(validated)), products)
+    """Parse every record once into a staged table; report, totals, dry run and outcomes read it from there.
+
+    Every import gets an outcome, also one that has no mapping or more rows than a given cap.
+    """
+    data = data_records(records)
+    capped = stage(row_cap(data, rules, cap), "capped") if cap is not None else None
+    kept = data_row_numbers(within_cap(data, rules, cap), rules)
+    validated = stage(validate_rows(map_columns(kept, has_mapping(imports)), rules), "validated")
+    counts = dry_run_counts(dry_run(last_wins(valid_rows(validated)), products))
+    totals = validation_totals(validated)
     return Validation(
-        validated, row_report(validated, rules), validation_totals(validated), dry_run_counts(actions)
+        validated, row_report(validated, rules), totals, counts, import_outcomes(imports, totals, counts, capped)
     )
 
 
+def intact(validated: DataFrame, recorded: DataFrame, listing: DataFrame) -> DataFrame:
+    """Rows of the imports whose file is still there with the recorded hash; check this before a load."""
+    broken = stage(file_integrity(recorded, listing).select("import_id").distinct(), "broken")
+    return spread_join(validated, broken, "import_id", F.col("row_number"), "left_anti")
+
+
 def load_feeds(
     spark: SparkSession,
     root: str,
@@ -62,19 +89,25 @@ def load_feeds(
     rules: Rules,
     batch_size: int = BATCH_SIZE,
     applied_at: Column | None = None,
+    imports: DataFrame | None = None,
 ) -> int:
-    """Apply the valid rows of `validated` that the ledger does not hold yet, and publish the result.
+    """Apply the valid rows of `validated` that no batch of the ledger covers, and publish the result.
 
-    Loading the same rows again finds every batch in the ledger and publishes nothing new; a load that
-    was cut off before its commit is repeated from the start. Returns the newest version.
+    Batches are told by the rows they cover, so a load may go on with another size: `imports` (import_id,
+    batch_size) gives each import its own, else `batch_size` holds for all. Loading the same rows again
+    publishes nothing new; a load that was cut off before its commit is repeated from the start. Returns
+    the newest version.
     """
-    products = store.read_products(spark, root)
     last = store.last_version(spark, root)
-    todo = not_applied(batch_rows(valid_rows(validated), batch_size), store.read_ledger(spark, root))
-    actions = stage(apply_actions(todo, _catalogs_of(products, validated)), "actions")
-    if actions.isEmpty():
+    valid = valid_rows(validated)
+    sized = valid if imports is None else with_batch_size(valid, imports)
+    size = batch_size if imports is None else F.col("batch_size")
+    todo = stage(resume_rows(sized, store.read_ledger(spark, root), size).drop("batch_size"), "open-rows")
+    catalogs = [r.catalog_id for r in todo.select("catalog_id").distinct().collect()]  # names of catalogs only
+    if not catalogs:
         return last
-    touched = _catalogs_of(products, actions)
+    touched = store.read_products(spark, root, catalogs)
+    actions = stage(apply_actions(todo, touched), "actions")
     when = applied_at if applied_at is not None else F.current_timestamp()
     store.publish(
         root,
@@ -84,8 +117,3 @@ def load_feeds(
         batch_ledger(actions),
     )
     return last + 1
-
-
-def _catalogs_of(products: DataFrame, rows: DataFrame) -> DataFrame:
-    """Only the catalogs the rows belong to; the stored table is partitioned by catalog."""
-    return products.join(rows.select("catalog_id").distinct(), "catalog_id", "left_semi")

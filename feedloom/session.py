@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -44,7 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach; one of our own only where the session names none."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="feedloom-")
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="feedloom-")  # one machine, one folder
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder.rstrip("/")
 

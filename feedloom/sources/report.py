@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.csvtext import escape_cell
 from feedloom.rules import CONTRACT, Rules
 
+FILES_PER_IMPORT = 8  # files the findings of one import are spread over
+
 _CONTRACT_NAMES = {"column_name": "column"}
 
 
@@ -22,9 +24,10 @@ def report_lines(report: DataFrame, rules: Rules) -> DataFrame:
     return report.select("import_id", "row_number", F.concat_ws(",", *cells).alias("line"))
 
 
-def write_report(report: DataFrame, rules: Rules, path: str) -> None:
-    """One folder per import; its part files, in name order, are the CSV with its header."""
-    headers = report.select("import_id").distinct().select(
+def write_report(report: DataFrame, rules: Rules, path: str, imports: DataFrame) -> None:
+    """One folder for each of `imports`; its part files, in name order, are the CSV with its header, which
+    stands alone where nothing was found."""
+    headers = imports.select("import_id").distinct().select(
         "import_id", F.lit(0).cast("bigint").alias("row_number"), F.lit(header_line(rules)).alias("line")
     )
     lines = report_lines(report, rules).unionByName(headers)
@@ -37,13 +40,23 @@ def write_report(report: DataFrame, rules: Rules, path: str) -> None:
     )
 
 
-def write_findings(report: DataFrame, path: str, rules: Rules) -> None:
-    """Store findings so that validating an import again replaces what it found before: only the
-    partitions that `report` has rows for are overwritten."""
+def write_findings(report: DataFrame, path: str, rules: Rules, imports: DataFrame) -> None:
+    """Store findings so that validating `imports` again replaces what it found before.
+
+    Only partitions that get rows are overwritten, so each of `imports` gets a row without a code, which
+    `read_findings` leaves out: an import that is clean now loses its old findings too.
+    """
     parts = ["import_id"] if rules.replace_all_phases else ["import_id", "phase"]
+    marks = imports.select("import_id").distinct().withColumn("phase", F.lit("validate"))
     (
-        report.write.mode("overwrite")
+        report.unionByName(marks, allowMissingColumns=True)
+        .repartition(*parts, F.pmod(F.xxhash64("row_number"), F.lit(FILES_PER_IMPORT)))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*parts)
         .parquet(path)
     )
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter("code is not null")

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from feedloom.operators import detect, mapping, validate
-from feedloom.plans.load import data_records, load_feeds, validate_feeds
+from feedloom.plans.load import data_records, intact, load_feeds, validate_feeds
 from feedloom.rules import CODED, CONTRACT, FIELDS
 from feedloom.sources import feed, files, report, store
 from feedloom.streaming.jobs import stream_loads
@@ -184,15 +184,97 @@ def test_report_sink(spark, tmp_path):
     imports, records = load_inputs(spark, drop, CSV)
     validated = validate.validate_rows(mapping.map_columns(data_records(records), imports), CONTRACT)
     found = validate.row_report(validated, CONTRACT)
-    report.write_report(found, CONTRACT, out)
+    both = imports.select("import_id").unionByName(spark.createDataFrame([(2,)], "import_id bigint"))
+    report.write_report(found, CONTRACT, out, both)
     parts = sorted((tmp_path / "out" / "import_id=1").glob("part-*"))
     lines = "".join(p.read_text() for p in parts).splitlines()
     assert lines[0] == "row_number,phase,severity,column,code,message" and len(lines) == 6
     assert [int(line.split(",")[0]) for line in lines[1:]] == [3, 4, 6, 7, 8]
-    stored = str(tmp_path / "findings")
-    for _ in range(2):  # validating again replaces, never adds
-        report.write_findings(found, stored, CODED)
-    assert spark.read.parquet(stored).count() == 5
+    clean = "".join(p.read_text() for p in (tmp_path / "out" / "import_id=2").glob("part-*"))
+    assert clean == "row_number,phase,severity,column,code,message\n"  # an import without findings has its header
+    for rules in (CODED, CONTRACT):
+        stored = str(tmp_path / f"findings-{rules.name}")
+        for _ in range(2):  # validating again replaces, never adds
+            report.write_findings(found, stored, rules, imports)
+        assert report.read_findings(spark, stored).count() == 5
+        report.write_findings(found.limit(0), stored, rules, imports)  # and a clean import loses what it had
+        assert report.read_findings(spark, stored).count() == 0
+
+
+def test_every_import_has_an_outcome(spark, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    imports, records = load_inputs(spark, drop, CSV)
+    more = spark.createDataFrame([(2, None), (3, {"sku": "SKU"})], "import_id bigint, mapping map<string,string>")
+    imports = imports.unionByName(more, allowMissingColumns=True)
+    records = records.unionByName(records.withColumn("import_id", F.lit(2).cast("bigint")))
+    nothing = store.read_products(spark, str(tmp_path / "store"))
+    shown = lambda cap: {tuple(r) for r in validate_feeds(records, imports, nothing, CONTRACT, cap).outcomes.collect()}
+    rest = {(2, "failed", "no_mapping") + (None,) * 6, (3, "validated", None) + (0,) * 6}
+    assert shown(None) == {(1, "validated", None, 7, 4, 1, 2, 0, 0)} | rest
+    assert shown(5) == {(1, "failed", "row_limit_exceeded") + (None,) * 6} | rest
+    assert shown(7) == shown(None)
+
+
+def test_header_behind_blank_records(spark, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    imports, records = load_inputs(spark, drop, ["", " ", *CSV])
+    assert [r.row_number for r in feed.preview(records).orderBy("row_number").collect()] == list(range(3, 11))
+    done = validate_feeds(records, imports, store.read_products(spark, str(tmp_path / "store")), CONTRACT)
+    assert sorted(r.row_number for r in done.report.collect()) == [5, 6, 8, 9, 10]
+    coded = validate_feeds(records, imports, store.read_products(spark, str(tmp_path / "store")), CODED)
+    assert {r.row_number for r in coded.report.filter("code = 'price_invalid'").collect()} == {2}
+
+
+def numbered(spark, import_id, rows, price):
+    return [(import_id, 1, n, f"S{n}", f"Name {n}", price) for n in rows]
+
+
+def as_validated(spark, rows):
+    lines = spark.createDataFrame(rows, "import_id bigint, catalog_id bigint, row_number bigint, sku string, name string, price_cents bigint")
+    return lines.selectExpr(
+        "*", "0L stock", "string(null) category", "string(null) description", "string(null) image_url",
+        "true valid", "array() findings", "false has_replacement", "false sets_stock", "false sets_category",
+        "false sets_description", "false sets_image_url", "sha2(concat(sku, price_cents), 256) row_hash",
+    )
+
+
+def test_loads_with_changing_batch_sizes(spark, tmp_path):
+    one, two = (as_validated(spark, numbered(spark, i, range(1, 9), p)) for i, p in ((1, 100), (2, 200)))
+    prices = lambda root: {r.sku: r.price_cents for r in store.read_products(spark, root).collect()}
+
+    root = str(tmp_path / "newer")  # a repeat with another size must not bring older data back
+    for rows, size in ((one, 4), (two, 4), (one, 2)):
+        load_feeds(spark, root, rows, CONTRACT, batch_size=size)
+    assert set(prices(root).values()) == {200} and store.last_version(spark, root) == 2
+
+    root = str(tmp_path / "rest")  # nor must it leave rows out
+    load_feeds(spark, root, one.filter("row_number <= 4"), CONTRACT, batch_size=2)
+    load_feeds(spark, root, one, CONTRACT, batch_size=4)
+    assert set(prices(root)) == {f"S{n}" for n in range(1, 9)}
+    ledger = sorted((r.batch_number, r.first_row, r.last_row) for r in store.read_ledger(spark, root).collect())
+    assert ledger == [(1, 1, 2), (2, 3, 4), (3, 5, 8)]
+
+
+def test_own_batch_sizes_and_broken_files(spark, tmp_path):
+    rows = as_validated(spark, numbered(spark, 1, range(1, 6), 100) + numbered(spark, 2, range(1, 6), 100))
+    sizes = spark.createDataFrame([(1, 2), (2, None)], "import_id bigint, batch_size bigint")
+    load_feeds(spark, str(tmp_path / "s"), rows, CONTRACT, imports=sizes)
+    ledger = sorted((r.import_id, r.batch_number) for r in store.read_ledger(spark, str(tmp_path / "s")).collect())
+    assert ledger == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    recorded = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "import_id bigint, path string, file_sha256 string")
+    listing = spark.createDataFrame([("a", "x"), ("b", "other")], "path string, sha256 string")
+    assert {r.import_id for r in intact(rows, recorded, listing).collect()} == {1}
+
+
+def test_only_committed_folders_are_read(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for n in range(5):
+        load_feeds(spark, root, as_validated(spark, numbered(spark, n + 1, range(1, 4), 100 + n)), CONTRACT)
+    scanned = {f.split("/products/")[1].rsplit("/", 1)[0] for f in store.read_products(spark, root).inputFiles()}
+    newest = [r.load for r in spark.read.json(f"{root}/commits").orderBy("version").collect()][-1]
+    assert scanned == {f"load={newest}/catalog_id=1"}
 
 
 def test_row_cap(spark):

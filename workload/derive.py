@@ -16,8 +16,8 @@ from feedloom.functions.hashing import header_signature
 from feedloom.operators.apply import apply_actions, batch_ledger, batch_rows
 from feedloom.operators.groups import block_of, number_rows
 from feedloom.operators.mapping import map_columns
-from feedloom.operators.validate import valid_rows, validate_rows
-from feedloom.rules import CONTRACT, STATES, Rules
+from feedloom.operators.validate import data_row_numbers, valid_rows, validate_rows
+from feedloom.rules import CODED, CONTRACT, STATES, Rules
 from feedloom.session import configure, new_folder, stage
 
 BATCH = 100
@@ -139,6 +139,12 @@ class Tables:
             "import_id", "row_number", F.when(blank, F.array(F.lit("  "))).otherwise(cells).alias("cells")
         )
 
+    @cached_property
+    def headed(self) -> DataFrame:
+        """The records with each feed's header as its first one."""
+        headers = self.imports.select("import_id", F.lit(1).cast("bigint").alias("row_number"), F.col("headers").alias("cells"))
+        return self.records.unionByName(headers)
+
     @cached_property
     def imports(self) -> DataFrame:
         """One import per supplier, stored like the table it stands for."""
@@ -213,6 +219,12 @@ class Tables:
         """Validated rows parsed once, for queries that read them several times."""
         return stage(self.validated, "validated")
 
+    @cached_property
+    def coded(self) -> DataFrame:
+        """Rows validated under the coded rules, which number data rows without gaps."""
+        data = data_row_numbers(self.data, CODED)
+        return stage(validate_rows(map_columns(data, self.imports), CODED), "coded")
+
     @cached_property
     def valid(self) -> DataFrame:
         return valid_rows(self.staged)

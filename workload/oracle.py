@@ -343,7 +343,8 @@ def load_steps(p: str, stored: str | None) -> None:
 
 
 validation_steps("feed", _DATA)
-validation_steps("coded", _DATA, coded=True)
+_DENSE = "row_number() OVER (PARTITION BY r.import_id ORDER BY r.row_number) AS row_number"
+validation_steps("coded", _DATA.replace("r.row_number", _DENSE), coded=True)
 validation_steps("file", _FILES)
 
 CTES["products"] = f"""
@@ -467,7 +468,30 @@ Q["feed_scan"] = f"""
 Q["decode_lenient"] = """
   SELECT doc_id, encoding, length(text) AS n_chars, sha256(text) AS text_sha256 FROM decoded"""
 Q["blank_filter"] = "SELECT import_id, row_number, CAST(n_cells AS BIGINT) AS n_cells FROM raw WHERE n % 211 <> 0"
-Q["feed_preview"] = f"SELECT import_id, row_number, {record_sql()} AS record FROM raw WHERE row_number <= 21 AND n % 211 <> 0"
+Q["feed_preview"] = f"""
+  SELECT import_id, row_number, {record_sql()} AS record FROM raw WHERE row_number <= 21 AND n % 211 <> 0
+  UNION ALL SELECT import_id, 1, array_to_string(headers, {MARK}) FROM import_headers"""
+Q["header_rule"] = """
+  SELECT import_id, row_number + late AS row_number, 'data' AS kind FROM (
+    SELECT *, CASE WHEN import_id % 3 = 0 THEN 1 ELSE 0 END AS late FROM raw)
+  UNION ALL SELECT import_id, row_number + late, 'preview' FROM (
+    SELECT *, CASE WHEN import_id % 3 = 0 THEN 1 ELSE 0 END AS late FROM raw) WHERE row_number <= 21 AND n % 211 <> 0
+  UNION ALL SELECT import_id, CASE WHEN import_id % 3 = 0 THEN 2 ELSE 1 END, 'preview' FROM imports"""
+
+
+def feed_line_sql(description: str) -> str:
+    def cell(c: str) -> str:
+        special = f"(contains({c}, ',') OR contains({c}, '\"') OR contains({c}, chr(10)) OR contains({c}, chr(13)))"
+        return f"CASE WHEN {special} THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+
+    cells = ", ".join(cell(f"({description})" if c == "description_raw" else c) for c in _cells)
+    return f"array_to_string(list_slice([{cells}], 1, least(n_cells, 7)), ',') || CASE WHEN n_cells = 8 THEN ',extra' ELSE '' END"
+
+
+Q["feed_listing"] = f"""
+  SELECT import_id, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS sha256 FROM (
+    SELECT {_file} AS import_id, 'SKU,Title,Price,Qty,Group,Text,Image' || chr(10)
+      || string_agg({feed_line_sql(_broken)} || chr(10), '' ORDER BY n) AS content FROM raw GROUP BY {_file})"""
 
 
 def escaped(c: str, always: bool) -> str:
@@ -486,10 +510,13 @@ Q["report_csv"] = f"""
   FROM feed_report"""
 Q["report_csv_coded"] = f"""
   SELECT import_id, row_number, {line_sql(("row_number", "phase", "column_name", "code", "severity", "message"), False)} AS line
-  FROM feed_report"""
+  FROM coded_report"""
+Q["report_files"] = f"""
+  SELECT import_id, {line_sql(("row_number", "phase", "severity", "column_name", "code", "message"), True)} AS line
+  FROM feed_report UNION ALL SELECT import_id, 'row_number,phase,severity,column,code,message' FROM imports"""
 Q["csv_escape"] = f"""
   SELECT doc_id, {escaped("value", False)} AS coded, {escaped("value", True)} AS contract FROM (
-    SELECT doc_id, ['=', '+', '', '@', '-'][doc_id % 5 + 1] || left(text, 40)
+    SELECT doc_id, ['=', '+', '', '@', '-'][doc_id % 5 + 1] || text
       || CASE WHEN doc_id % 3 = 0 THEN '"' ELSE '' END AS value FROM documents)"""
 Q["json_columns"] = """
   SELECT event_id, k, '{"k":' || k || '}' AS written FROM (
@@ -551,7 +578,7 @@ Q["normalize_text"] = f"""
     SELECT doc_id, {text_sql("CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', 'e' || chr(769)) ELSE text END")} AS x FROM documents)"""
 Q["excerpt"] = """
   SELECT doc_id, CASE WHEN length(x) <= 64 THEN x ELSE left(x, 64) || '...' END AS shown FROM (
-    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN left(text, 64) ELSE text END AS x FROM documents)"""
+    SELECT doc_id, text AS x FROM documents)"""
 CTES["unspaced"] = "SELECT import_id, row_number, price_raw AS x FROM raw"
 Q["strip_currency"] = """
   SELECT import_id, row_number, CASE WHEN n % 12 = 4 THEN substr(price_raw, 2) WHEN n % 12 = 5 THEN
@@ -596,14 +623,23 @@ Q["row_cap"] = """
   FROM (SELECT import_id, count(*) FILTER (n % 211 <> 0) AS total_rows FROM raw GROUP BY import_id)"""
 Q["report_replace"] = """
   SELECT import_id, CASE WHEN row_number % 10 = 0 THEN 'apply' ELSE 'validate' END AS phase, row_number, column_name, code,
-    severity, 'old' AS message FROM feed_found WHERE import_id % 3 <> 0 OR row_number % 10 = 0
-  UNION ALL SELECT * FROM feed_found WHERE import_id % 3 = 0"""
+    severity, 'old' AS message FROM feed_report WHERE import_id % 3 <> 0 OR row_number % 10 = 0
+  UNION ALL SELECT * FROM feed_report WHERE import_id % 3 = 0"""
+Q["report_store"] = f"SELECT {REPORT} FROM feed_report WHERE import_id % 3 <> 0"
+CTES["outcomes"] = """
+  SELECT i.import_id, CASE WHEN i.import_id % 9 = 0 THEN 'no_mapping' WHEN n_rows > 600 THEN 'row_limit_exceeded' END AS reason
+  FROM imports i LEFT JOIN (SELECT import_id, count(*) FILTER (n % 211 <> 0) AS n_rows FROM raw GROUP BY import_id) r
+    ON r.import_id = i.import_id"""
+Q["import_outcomes"] = "SELECT o.import_id, CASE WHEN reason IS NULL THEN 'validated' ELSE 'failed' END AS state, reason, " + ", ".join(
+    f"CASE WHEN reason IS NULL THEN coalesce({c}, 0) END AS {c}"
+    for c in ("total_rows", "error_rows", "warning_rows", "would_create", "would_update", "would_skip")
+) + " FROM outcomes o LEFT JOIN totals t ON t.import_id = o.import_id LEFT JOIN dry_counts d ON d.import_id = o.import_id"
 Q["row_numbers"] = """
   SELECT import_id, row_number, row_number() OVER (PARTITION BY import_id ORDER BY row_number) AS data_row
   FROM raw WHERE n % 211 <> 0"""
 Q["report_page"] = f"""
-  SELECT {REPORT} FROM feed_report WHERE import_id = 1 AND severity = 'error'
-  ORDER BY row_number, code, column_name NULLS FIRST LIMIT 20 OFFSET 20"""
+  SELECT {REPORT}, count(*) OVER () AS total FROM feed_report WHERE import_id = 1 AND severity = 'error'
+  ORDER BY row_number, code, column_name NULLS FIRST, message LIMIT 20 OFFSET 20"""
 Q["last_wins"] = "SELECT import_id, catalog_id, sku, row_number, row_hash FROM feed_last"
 Q["dry_run_rows"] = "SELECT * FROM dry"
 for _action in ("create", "skip", "update"):
@@ -625,12 +661,12 @@ Q["batch_plan"] = """
 Q["batch_ledger"] = "SELECT * FROM feed_book"
 Q["apply_totals"] = "SELECT * FROM applied"
 Q["import_page"] = """
-  SELECT import_id, catalog_id, source_label, state FROM imports WHERE catalog_id = 1 ORDER BY import_id DESC LIMIT 3 OFFSET 3"""
+  SELECT import_id, catalog_id, source_label, state, count(*) OVER () AS total FROM imports WHERE catalog_id = 1 ORDER BY import_id DESC LIMIT 3 OFFSET 3"""
 Q["template_list"] = "SELECT * FROM templates ORDER BY last_used_at DESC NULLS LAST, name"
 Q["change_page"] = """
-  SELECT * FROM feed_audit WHERE import_id = 2 AND action = 'update' ORDER BY row_number LIMIT 20 OFFSET 20"""
+  SELECT *, count(*) OVER () AS total FROM feed_audit WHERE import_id = 2 AND action = 'update' ORDER BY row_number LIMIT 20 OFFSET 20"""
 Q["product_search"] = """
-  SELECT catalog_id, sku, name, price_cents, stock, last_import_id FROM products
+  SELECT catalog_id, sku, name, price_cents, stock, last_import_id, count(*) OVER () AS total FROM products
   WHERE catalog_id = 2 AND (contains(lower(sku), 'ring') OR contains(lower(name), 'ring')) ORDER BY sku LIMIT 50"""
 Q["apply_actions"] = "SELECT import_id, row_number, batch_number, catalog_id, sku, action FROM feed_acts"
 Q["apply_changes"] = "SELECT * FROM feed_audit"
@@ -644,8 +680,10 @@ Q["ledger_dedupe"] = """
   WHERE NOT (import_id % 2 = 1 AND batch_number <= 2)"""
 Q["resume_rows"] = Q["ledger_dedupe"]
 Q["reimport_noop"] = """
-  SELECT import_id, row_number, sku, 'skip' AS action FROM feed_valid
-  QUALIFY row_number() OVER (PARTITION BY catalog_id, sku ORDER BY import_id DESC, row_number DESC) = 1"""
+  SELECT import_id, row_number, sku, CASE WHEN seen IS NULL THEN 'create' WHEN seen = row_hash THEN 'skip' ELSE 'update' END AS action
+  FROM (SELECT *, lag(row_hash) OVER (PARTITION BY catalog_id, sku ORDER BY import_id, row_number) AS seen FROM (
+    SELECT catalog_id, sku, import_id, row_number, row_hash FROM feed_valid
+    UNION ALL SELECT catalog_id, sku, 0, 0, row_hash FROM feed_merged)) WHERE import_id > 0"""
 Q["file_integrity"] = f"""
   SELECT DISTINCT {_file} AS import_id, 'failed' AS state, 'file_missing' AS pause_reason FROM raw
   WHERE ({_file}) % 10 = 0 OR ({_file}) % 15 = 0"""
@@ -673,6 +711,20 @@ Q["stream_apply"] = """
   SELECT catalog_id, sku, name, price_cents, stock, category, description, image_url, row_hash,
     import_id AS last_import_id FROM file_merged"""
 Q["load_job"] = "SELECT * FROM file_book"
+Q["load_audit"] = "SELECT * FROM file_audit"
+CTES["parts"] = """
+  SELECT *, row_number > 300 AS late, CASE WHEN row_number > 300 THEN 70 WHEN import_id % 2 = 0 THEN 50 ELSE 100 END AS size,
+    lag(row_hash) OVER (PARTITION BY catalog_id, sku ORDER BY row_number > 300, import_id, row_number) AS seen FROM feed_valid"""
+CTES["part_batches"] = """
+  SELECT *, (row_number() OVER (PARTITION BY import_id, late ORDER BY row_number) - 1) // size + 1 AS own FROM parts"""
+Q["load_resume"] = """
+  SELECT import_id, own + CASE WHEN late THEN coalesce((SELECT max(own) FROM part_batches e
+      WHERE e.import_id = p.import_id AND NOT e.late), 0) ELSE 0 END AS batch_number,
+    min(row_number) AS first_row, max(row_number) AS last_row,
+    count(*) FILTER (seen IS NULL) AS created_count,
+    count(*) FILTER (seen IS NOT NULL AND seen <> row_hash) AS updated_count,
+    count(*) FILTER (seen = row_hash) AS skipped_count
+  FROM part_batches p GROUP BY ALL"""
 
 del CTES["unspaced"]
 ORACLE = {name: compose(sql) for name, sql in ORACLE.items()}
