@@ -11,22 +11,24 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 END_ID = 0
 BLOCK_BYTES = 2 << 20  # compressed bytes after which a block is closed
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS, SAMPLE_BYTES = 2_000, 8 << 20  # bounds of what the dictionary is trained on
-CACHED_PIECES = 300_000  # encoded pieces kept per Python worker
+CACHED_PIECES = 800_000  # encoded pieces kept per Python worker, and at most the pieces of GROUP rows more
+GROUP = 500  # rows encoded together
 LEVEL = 3
 
-DOUBLE_SPACE = re.compile(r"\s\s")
 PIECE_BORDER = re.compile(r"(?<=\S) (?=\S)")
 BLOCK = pa.schema(
     [
@@ -45,8 +47,9 @@ class Encoder:
     """A byte-level tokenizer of the tokenizers library with a bounded memory of encoded pieces.
 
     The pre-tokenizer always cuts before a single space between two visible characters, so the text may be cut
-    there and each piece, with its space, encoded for itself; equal pieces are encoded once. Texts that contain
-    an added token as characters go to the library whole.
+    there and each piece, with its space, encoded for itself; equal pieces are encoded once. New pieces go to the
+    library in one string and come back as runs of ids, cut by the bytes that each id stands for. Texts that
+    contain an added token as characters go to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -55,37 +58,80 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()  # a character of a byte-level token stands for one byte
+        self.widths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, at in vocabulary.items():
+            self.widths[at] = len(token)
         self.pieces: dict[str, bytes] = {}  # pieces that follow a space
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text, without the end id; none for null."""
-        for text in texts:
-            if not text:
-                yield b""
-            elif any(a in text for a in self.added):
-                yield self._ids([text])[0]
-            else:
-                head, *rest = PIECE_BORDER.split(text) if DOUBLE_SPACE.search(text) else text.split(" ")
-                yield from self._joined(head, rest)
-
-    def _joined(self, head: str, rest: list[str]) -> Iterator[bytes]:
-        if head == "" and rest:  # the text starts with a space
-            head, rest = " " + rest[0], rest[1:]
-        if rest and rest[-1] == "":  # the text ends with a space
-            rest.pop()
-            tail = [" "]
-        else:
-            tail = []
+    def _learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 2_000):
+            part = [" " + p for p in pieces[at : at + 2_000]]
+            raw = self._whole(["".join(part)])[0]
+            ends = np.cumsum([len(p.encode()) for p in part])
+            places = np.cumsum(self.widths[np.frombuffer(raw, dtype="<u4")])
+            cuts = np.searchsorted(places, ends)
+            if cuts[-1] >= len(places) or (places[cuts] != ends).any():
+                raise ValueError("a token crosses the border of two pieces")
+            starts = np.r_[0, cuts[:-1] + 1]
+            self.pieces.update(
+                (p[1:], raw[4 * low : 4 * high + 4]) for p, low, high in zip(part, starts.tolist(), cuts.tolist(), strict=True)
+            )
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, without the end id; none for null.
+
+        A text is cut at every space first. Where a piece is empty or ends in white space, white space adjoins the
+        next cut, which then is none of the pre-tokenizer's: such pieces are never learnt, and their texts are cut
+        between visible characters only.
+        """
+        out, plain = [b""] * len(texts), []
+        for at, text in enumerate(texts):
+            if text and any(a in text for a in self.added):
+                out[at] = self._whole([text])[0]
+            elif text:
+                body = text.rstrip()
+                head, *rest = body.split(" ")
+                plain.append((at, head, rest, body, text[len(body) :]))
         if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
-        new = list(set(rest).difference(self.pieces))
-        self.pieces.update(zip(new, self._ids([" " + p for p in new]), strict=True))
-        ends = self._ids([head, *tail])
-        yield b"".join([ends[0], *map(self.pieces.__getitem__, rest), *ends[1:]])
+        new = set(chain.from_iterable(rest for _, _, rest, _, _ in plain)).difference(self.pieces)
+        self._learn([p for p in new if p and not p[-1].isspace()])
+        heads = self._whole([head for _, head, _, _, _ in plain])
+        tails = {t: self._whole([t])[0] if t else b"" for t in {tail for *_, tail in plain}}
+        for (at, head, rest, body, tail), first in zip(plain, heads, strict=True):
+            try:
+                if rest and (not head or head[-1].isspace()):
+                    raise KeyError(head)
+                out[at] = first + self._joined(rest) + tails[tail]
+            except KeyError:
+                head, *rest = PIECE_BORDER.split(body)
+                self._learn(list(set(rest).difference(self.pieces)))
+                out[at] = self._whole([head])[0] + self._joined(rest) + tails[tail]
+        return out
+
+
+@cache
+def encoder(tokenizer_file: str) -> Encoder:
+    """One for each Python worker, which serves many tasks."""
+    return Encoder(tokenizer_file)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_file: str) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, ids with the end id) of each row, some hundred rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, GROUP):
+            part = batch.slice(at, GROUP)
+            found = encoder(tokenizer_file).encode(part.column("text").to_pylist())
+            for doc_id, raw in zip(part.column("doc_id").to_pylist(), found, strict=True):
+                yield doc_id, raw + END
 
 
 END = np.array([END_ID], dtype="<u4").tobytes()
@@ -103,12 +149,11 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, size: int = DICTIONAR
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, samples, held = Encoder(tokenizer_file), [], 0
-        for batch in batches:
-            for raw in encoder.encode(batch.column("text").to_pylist()):
-                if held < SAMPLE_BYTES and len(raw) <= SAMPLE_BYTES // 16:
-                    samples.append(raw + END)
-                    held += len(raw)
+        samples, held = [], 0
+        for _, raw in _encoded(batches, tokenizer_file):
+            if held < SAMPLE_BYTES and len(raw) <= SAMPLE_BYTES // 16:
+                samples.append(raw)
+                held += len(raw)
         try:
             found = zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
         except zstandard.ZstdError:
@@ -140,7 +185,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str) -> None:
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_file)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         part, block, started, total = TaskContext.get().partitionId(), 0, 0, 0
@@ -150,19 +194,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str) -> None:
             row = (part, block, name, started, sum(counts), ids, offsets, counts, b"".join(frames))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
 
-        for batch in batches:
-            for doc_id, raw in zip(
-                batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True
-            ):
-                frames.append(press.compress(raw + END))
-                ids.append(doc_id)
-                counts.append(len(raw) // 4 + 1)
-                offsets.append(offsets[-1] + len(frames[-1]))
-                if offsets[-1] >= BLOCK_BYTES:
-                    total += sum(counts)
-                    yield close()
-                    block, started = block + 1, total
-                    ids, offsets, counts, frames = [], [0], [], []
+        for doc_id, raw in _encoded(batches, tokenizer_file):
+            frames.append(press.compress(raw))
+            ids.append(doc_id)
+            counts.append(len(raw) // 4)
+            offsets.append(offsets[-1] + len(frames[-1]))
+            if offsets[-1] >= BLOCK_BYTES:
+                total += sum(counts)
+                yield close()
+                block, started = block + 1, total
+                ids, offsets, counts, frames = [], [0], [], []
         if ids:
             yield close()
 
@@ -224,8 +265,6 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     `ids` are little-endian unsigned 32-bit integers, the end id included. A writing task is a part; the starts of
     parts, one number for each, are summed up from the blocks' index alone.
     """
-    from pyspark.sql import Window
-
     blocks = spark.read.schema(BLOCK_DDL).parquet(f"{folder}/blocks")
     ends = blocks.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
