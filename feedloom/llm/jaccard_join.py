@@ -188,7 +188,8 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
     placed = inside.join(cut, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = stage(placed.select("node", "members", "doc_id", "_text_hash", "component", "blocks", "block"), "placed")
 
-    named = placed.withColumnsRenamed({"doc_id": "_doc", "_text_hash": "_hash"})
+    # The share of documents with a partner is the same at any size, so the plan is too: texts move once.
+    named = placed.withColumnsRenamed({"doc_id": "_doc", "_text_hash": "_hash"}).hint("merge")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
     texts = docs.select("doc_id", "text").join(named, same)
 
