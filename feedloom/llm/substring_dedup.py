@@ -18,7 +18,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -97,15 +96,13 @@ def removed_words(starts: np.ndarray, n_words: int) -> np.ndarray:
 
 
 # Rows between tasks: the key's two hashes, the document (id and checksum of its text), and a place. Rows of
-# settled places carry no key of their own: theirs is drawn from the document, and `places` is set.
-KEYED = pa.schema(
-    [("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("place", pa.int32()),
-     ("places", pa.list_(pa.int32()))]
-)
-KEYED_DDL = "h1 long, h2 long, doc_id long, crc long, place int, places array<int>"
+# settled places carry no key of their own: theirs is drawn from the document, and the place is SETTLED - place.
+KEYED = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("place", pa.int32())])
+KEYED_DDL = "h1 long, h2 long, doc_id long, crc long, place int"
 FOUND = pa.schema([("doc_id", pa.int64()), ("crc", pa.int64()), ("places", pa.list_(pa.int32()))])
 FOUND_DDL = "doc_id long, crc long, places array<int>"
 SHARED = -1  # place of a row which says that its key is shared
+SETTLED = -2
 
 
 def _lists(doc: np.ndarray, crc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
@@ -118,16 +115,13 @@ def _lists(doc: np.ndarray, crc: np.ndarray, place: np.ndarray) -> tuple[np.ndar
 
 
 def _keyed(h1, h2, doc, crc, place) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(crc),
-         pa.array(place.astype(np.int32)), pa.nulls(len(h1), pa.list_(pa.int32()))], schema=KEYED,
-    )
+    columns = (h1.view(np.int64), h2.view(np.int64), doc, crc, place.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=KEYED)
 
 
 def _settled(doc, crc, place) -> pa.RecordBatch:
-    docs, crcs, lists = _lists(doc, crc, place)
-    key = pa.array(docs * 0x9E3779B1 ^ crcs)
-    return pa.RecordBatch.from_arrays([key, key, pa.array(docs), pa.array(crcs), pa.nulls(len(docs), pa.int32()), lists], schema=KEYED)
+    key = (doc * 0x9E3779B1) ^ (crc << 20)
+    return _keyed(key, key, doc, crc, SETTLED - place)
 
 
 def _sorted_groups(h1, h2, doc):
@@ -213,15 +207,15 @@ def _stream(batches: Iterator[pa.RecordBatch], decide) -> Iterator[pa.RecordBatc
     """
     state = None
     for batch in batches:
-        passing = batch.filter(pa.compute.is_valid(batch.column("places")))
-        if passing.num_rows:
-            yield passing.select(["doc_id", "crc", "places"])
-        rows = batch.filter(pa.compute.is_null(batch.column("places")))
-        if rows.num_rows:
-            h1, h2, doc, crc, place = (rows.column(c).to_numpy() for c in ("h1", "h2", "doc_id", "crc", "place"))
-            out, state = decide(h1, h2, doc, crc, place, state)
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), out[2]], schema=FOUND)
+        h1, h2, doc, crc, place = (batch.column(c).to_numpy() for c in KEYED.names)
+        passing = place <= SETTLED
+        out = [_lists(doc[passing], crc[passing], SETTLED - place[passing])]
+        if not passing.all():
+            told, state = decide(*(c[~passing] for c in (h1, h2, doc, crc, place)), state)
+            out.append(told)
+        for docs, crcs, places in out:
+            if len(docs):
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(crcs), places], schema=FOUND)
 
 
 def _decide_anchors(h1, h2, doc, crc, place, state):
