@@ -30,7 +30,7 @@ PERIOD = 31
 COVER = np.array([1, 5, 11, 24, 25, 27])  # every shift modulo 31 is the difference of two of these
 ANCHOR = WINDOW - PERIOD + 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have an inverse modulo 2^64
-HELD_ROWS = 1_500_000  # rows a task hashes before it settles and sends them
+HELD_ROWS = 1_500_000  # keys a task holds before it settles and sends them
 
 
 @cache
@@ -95,33 +95,80 @@ def removed_words(starts: np.ndarray, n_words: int) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-# Rows between tasks: the key's two hashes, the document (id and checksum of its text), and a place. Rows of
-# settled places carry no key of their own: theirs is drawn from the document, and the place is SETTLED - place.
-KEYED = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("place", pa.int32())])
-KEYED_DDL = "h1 long, h2 long, doc_id long, crc long, place int"
+# Rows travel packed: of what a task settles at once, one row for each bucket of keys holds the columns, compressed.
+PACKED = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("n", pa.int32()), ("packed", pa.binary())])
+PACKED_DDL = "bucket int, settled boolean, n int, packed binary"
 FOUND = pa.schema([("doc_id", pa.int64()), ("crc", pa.int64()), ("places", pa.list_(pa.int32()))])
 FOUND_DDL = "doc_id long, crc long, places array<int>"
 SHARED = -1  # place of a row which says that its key is shared
-SETTLED = -2
+BUCKETS_PER_TASK = 8  # buckets a receiving task reads one after the other
 
 
-def _lists(doc: np.ndarray, crc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers, all lowest ones first: high bytes of small numbers compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(raw: memoryview, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(raw[at : at + n * width], dtype=np.uint8).reshape(width, n)
+    return np.ascontiguousarray(flat.T).view(kind).reshape(n), at + n * width
+
+
+def pack(h1, h2, doc, crc, place) -> bytes:
+    """Columns of rows sorted by h1; documents are listed once. h1 and h2 are None for settled places."""
+    names, which = np.unique(np.stack([doc, crc]), axis=1, return_inverse=True)
+    parts = [np.int64(names.shape[1]).tobytes(), _planes(names.ravel()), _planes(which.ravel().astype(np.uint32)),
+             _planes(place.astype(np.int32))]
+    if h1 is not None:
+        parts += [_planes(np.diff(h1, prepend=np.uint64(0))), _planes(h2)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(raw: bytes, n: int, keyed: bool):
+    """(h1, h2, doc, crc, place) of `pack`; without the hashes for settled places."""
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(raw))
+    listed = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
+    names, at = _from_planes(raw, 8, 2 * listed, "<i8")
+    which, at = _from_planes(raw, at, n, "<u4")
+    place, at = _from_planes(raw, at, n, "<i4")
+    doc, crc = names[:listed][which], names[listed:][which]
+    if not keyed:
+        return doc, crc, place
+    h1, at = _from_planes(raw, at, n, "<u8")
+    h2, at = _from_planes(raw, at, n, "<u4")
+    return np.cumsum(h1, dtype=np.uint64), h2, doc, crc, place
+
+
+def _lists(doc: np.ndarray, crc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """One list of places per document."""
     order = np.lexsort((crc, doc))
     doc, crc, place = doc[order], crc[order], place[order]
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])]) if len(doc) else np.empty(0, np.int64)
-    offsets = pa.array(np.r_[new, len(doc)].astype(np.int32))
-    return doc[new], crc[new], pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32)))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(doc)].astype(np.int32)), pa.array(place.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(crc[new]), lists], schema=FOUND)
+
+
+def _rows(buckets, settled: bool, counts, packed) -> pa.RecordBatch:
+    columns = (buckets, [settled] * len(buckets), counts, packed)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PACKED, strict=True)], schema=PACKED)
 
 
-def _keyed(h1, h2, doc, crc, place) -> pa.RecordBatch:
-    columns = (h1.view(np.int64), h2.view(np.int64), doc, crc, place.astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=KEYED)
+def _keyed(bits: int, h1, h2, doc, crc, place) -> pa.RecordBatch:
+    """One row for each bucket: the leading `bits` of the first hash."""
+    order = np.argsort(h1, kind="stable")
+    columns = [c[order] for c in (h1, h2, doc, crc, place)]
+    bucket = (columns[0] >> np.uint64(64 - bits)).astype(np.int32)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[: len(bucket)]
+    cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
+    packed = [pack(*(c[low:high] for c in columns)) for low, high in cuts]
+    return _rows(bucket[first].tolist(), False, [high - low for low, high in cuts], packed)
 
 
-def _settled(doc, crc, place) -> pa.RecordBatch:
-    key = (doc * 0x9E3779B1) ^ (crc << 20)
-    return _keyed(key, key, doc, crc, SETTLED - place)
+def _settled(bits: int, doc, crc, place) -> pa.RecordBatch:
+    """A row for all settled places, in a bucket drawn from the first document."""
+    bucket = int(((int(doc[0]) * BASES[0]) & 0xFFFFFFFFFFFFFFFF) >> (64 - bits))
+    return _rows([bucket], True, [len(doc)], [pack(None, None, doc, crc, place)])
 
 
 def _sorted_groups(h1, h2, doc):
@@ -133,34 +180,53 @@ def _sorted_groups(h1, h2, doc):
     return order, np.cumsum(new) - 1, d[first], d[np.r_[first[1:], len(d)] - 1], first
 
 
-def settle_anchors(h1, h2, doc, crc, place) -> Iterator[pa.RecordBatch]:
+def settle_anchors(bits: int, h1, h2, doc, crc, place) -> Iterator[pa.RecordBatch]:
     """Anchors that two documents at hand share are settled; others go on, and one row for each shared key."""
     order, group, least, most, first = _sorted_groups(h1, h2, doc)
     shared = least < most
     inside = shared[group]
-    alone = order[~inside]
-    yield _keyed(h1[alone], h2[alone], doc[alone], crc[alone], place[alone])
-    if shared.any():
-        at = order[first[shared]]
-        yield _keyed(h1[at], h2[at], doc[at], crc[at], np.full(len(at), SHARED))
-        yield _settled(doc[order[inside]], crc[order[inside]], place[order[inside]])
+    place = place.copy()
+    marks, alone = order[first[shared]], order[~inside]
+    if len(marks):
+        told = order[inside]
+        yield _settled(bits, doc[told], crc[told], place[told])
+        place[marks] = SHARED
+    sent = np.concatenate([alone, marks])
+    yield _keyed(bits, h1[sent], h2[sent], doc[sent], crc[sent], place[sent])
 
 
-def settle_windows(h1, h2, doc, crc, place) -> Iterator[pa.RecordBatch]:
+def settle_windows(bits: int, h1, h2, doc, crc, place) -> Iterator[pa.RecordBatch]:
     """Windows that a smaller document at hand has are settled; those of each key's smallest document go on."""
     order, group, least, _, _ = _sorted_groups(h1, h2, doc)
     late = doc[order] > least[group]
-    kept = order[~late]
-    yield _keyed(h1[kept], h2[kept], doc[kept], crc[kept], place[kept])
-    if late.any():
-        yield _settled(doc[order[late]], crc[order[late]], place[order[late]])
+    kept, told = order[~late], order[late]
+    yield _keyed(bits, h1[kept], h2[kept], doc[kept], crc[kept], place[kept])
+    if len(told):
+        yield _settled(bits, doc[told], crc[told], place[told])
+
+
+def shared_anchors(h1, h2, doc, crc, place) -> np.ndarray:
+    """Which rows of a bucket belong to a key that two documents have."""
+    order, group, least, most, first = _sorted_groups(h1, h2, doc)
+    shared = (least < most) | (np.minimum.reduceat(place[order], first) == SHARED)
+    found = np.zeros(len(h1), dtype=bool)
+    found[order] = shared[group]
+    return found & (place != SHARED)
+
+
+def late_windows(h1, h2, doc, crc, place) -> np.ndarray:
+    """Which rows of a bucket have a key that a smaller document has."""
+    order, group, least, _, _ = _sorted_groups(h1, h2, doc)
+    found = np.zeros(len(h1), dtype=bool)
+    found[order] = doc[order] > least[group]
+    return found
 
 
 class _Held:
     """Rows of several documents, settled together once there are enough."""
 
-    def __init__(self, settle):
-        self.settle, self.parts, self.rows = settle, [], 0
+    def __init__(self, settle, bits: int):
+        self.settle, self.bits, self.parts, self.rows = settle, bits, [], 0
 
     def add(self, doc_id: int, crc: int, h1, h2, places) -> Iterator[pa.RecordBatch]:
         if len(places):
@@ -174,83 +240,61 @@ class _Held:
         if self.parts:
             columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
             self.parts, self.rows = [], 0
-            yield from self.settle(*columns)
+            yield from self.settle(self.bits, *columns)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = _Held(settle_anchors)
+def _anchor_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    held = _Held(settle_anchors, bits)
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             raw = text.as_py()
             places, found = anchors(word_hashes(split_words(raw)))
-            yield from held.add(doc_id, zlib.crc32(raw.encode()), found, np.zeros_like(found), places)
+            yield from held.add(doc_id, zlib.crc32(raw.encode()), found, np.zeros(len(found), dtype=np.uint32), places)
     yield from held.flush()
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = _Held(settle_windows)
-    unpack = zstandard.ZstdDecompressor()
+def _window_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    held = _Held(settle_windows, bits)
+    unzip = zstandard.ZstdDecompressor()
     for batch in batches:
         for doc_id, crc, packed, places in zip(*(batch.column(c) for c in ("doc_id", "crc", "packed", "places")), strict=True):
-            hashes = word_hashes(unpack.decompress(packed.as_py()).split())
+            hashes = word_hashes(unzip.decompress(packed.as_py()).split())
             starts = candidate_windows(places.values.to_numpy(), len(hashes))
             one, two = (window_hashes(hashes, WINDOW, b)[starts] for b in BASES)
-            yield from held.add(doc_id.as_py(), crc.as_py(), one, two, starts)
+            yield from held.add(doc_id.as_py(), crc.as_py(), one, (two >> np.uint64(32)).astype(np.uint32), starts)
     yield from held.flush()
 
 
-def _stream(batches: Iterator[pa.RecordBatch], decide) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and document, read as a stream: `decide` gets each batch and what the last one left.
+def _read_buckets(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: each bucket is unpacked, chosen from, and let go before the next one."""
 
-    State between batches: the last key, its smallest document, whether it is known to be shared, and - for a
-    single document so far - nothing else than its rows, which are no more than the document has places.
-    """
-    state = None
+    def close(parts):
+        if parts:
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            told = choose(*columns)
+            if told.any():
+                yield _lists(*(c[told] for c in columns[2:]))
+
+    bucket, parts = None, []
     for batch in batches:
-        h1, h2, doc, crc, place = (batch.column(c).to_numpy() for c in KEYED.names)
-        passing = place <= SETTLED
-        out = [_lists(doc[passing], crc[passing], SETTLED - place[passing])]
-        if not passing.all():
-            told, state = decide(*(c[~passing] for c in (h1, h2, doc, crc, place)), state)
-            out.append(told)
-        for docs, crcs, places in out:
-            if len(docs):
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(crcs), places], schema=FOUND)
-
-
-def _decide_anchors(h1, h2, doc, crc, place, state):
-    """Places of keys that two documents have. The rows of the last key stay open until it is known to be shared."""
-    if state is not None and state["open"] is not None:
-        o = state["open"]
-        h1, h2, doc, crc, place = (np.concatenate([x, y]) for x, y in zip(o, (h1, h2, doc, crc, place), strict=True))
-    new = np.r_[True, h1[1:] != h1[:-1]]
-    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    ends = np.r_[first[1:], len(h1)] - 1
-    shared = (doc[first] != doc[ends]) | (np.minimum.reduceat(place, first) == SHARED)
-    if state is not None and state["key"] == h1[0]:
-        shared[0] = True
-    told = shared[group] & (place != SHARED)
-    last = group == group[-1]
-    open_ = None if shared[-1] else tuple(x[last] for x in (h1, h2, doc, crc, place))
-    key = h1[-1] if shared[-1] else None
-    return _lists(doc[told], crc[told], place[told]), {"key": key, "open": open_}
-
-
-def _decide_windows(h1, h2, doc, crc, place, state):
-    """Places of windows whose key a smaller document has: all but the rows of each key's first document."""
-    new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    least = doc[first].copy()
-    if state is not None and state["key"] == (h1[0], h2[0]):
-        least[0] = state["least"]
-    late = doc > least[group]
-    return _lists(doc[late], crc[late], place[late]), {"key": (h1[-1], h2[-1]), "least": least[-1], "open": None}
-
-
-def _shared_places(rows: DataFrame, decide) -> DataFrame:
-    """(doc_id, crc, places): one shuffle by key, a sorted stream in each task, then one list per document."""
-    dealt = rows.repartition("h1").sortWithinPartitions("h1", "h2", "doc_id")
-    found = dealt.mapInArrow(lambda batches: _stream(batches, decide), FOUND_DDL)
+        for at, settled, n, packed in zip(*(batch.column(c).to_pylist() for c in PACKED.names), strict=True):
+            if settled:
+                yield _lists(*unpack(packed, n, keyed=False))
+                continue
+            if at != bucket:
+                yield from close(parts)
+                bucket, parts = at, []
+            parts.append(unpack(packed, n, keyed=True))
+    yield from close(parts)
+
+
+def _chosen_places(rows: DataFrame, make, choose) -> DataFrame:
+    """(doc_id, crc, places): keys made from documents, one shuffle by bucket, and one list per document."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(31, (tasks * BUCKETS_PER_TASK).bit_length())
+    sent = rows.mapInArrow(lambda batches: make(batches, bits), PACKED_DDL)
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(lambda batches: _read_buckets(batches, choose), FOUND_DDL)
     return found.groupBy("doc_id", "crc").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
@@ -295,16 +339,16 @@ def drop_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     read; no documents give no rows.
     """
     docs = docs.select("doc_id", "text")
-    rows = docs.filter("doc_id is not null and text is not null").mapInArrow(_anchor_rows, KEYED_DDL)
-    shared = _shared_places(rows, _decide_anchors)
+    told = docs.filter("doc_id is not null and text is not null")
+    shared = _chosen_places(told, _anchor_rows, shared_anchors)
     packed = docs.mapInArrow(_pack, "doc_id long, crc long, n_words long, kept_sha256 string, packed binary")
     work = packed.join(shared, ["doc_id", "crc"], "left")
     keep = F.when(F.col("places").isNotNull(), F.col("packed")).alias("packed")
     work = stage(work.select("doc_id", "crc", "n_words", "kept_sha256", keep, "places"), "repeats")
 
     marked = work.filter("places is not null")
-    windows = marked.select("doc_id", "crc", "packed", "places").mapInArrow(_window_rows, KEYED_DDL)
-    settled = stage(_shared_places(windows, _decide_windows), "windows")
+    candidates = marked.select("doc_id", "crc", "packed", "places")
+    settled = stage(_chosen_places(candidates, _window_rows, late_windows), "windows")
     late = marked.drop("places").join(settled, ["doc_id", "crc"])
     repeats = late.select("doc_id", "n_words", "packed", "places").mapInArrow(
         _remove, "doc_id long, n_words long, n_removed long, kept_text string"
