@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.session import new_folder, stage
 
-__all__ = ["SPACES", "WORD_GAP", "let", "new_folder", "read_table", "small_enough", "stage", "words"]
+__all__ = ["SPACES", "WORD_GAP", "let", "new_folder", "read_table", "small_enough", "stage", "text_batches", "words"]
 
 SPACES = " \t\n\x0b\x0c\r"  # the characters x20 and x09 to x0D, the only ones that part words
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -24,6 +24,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at once: batches sized for numbers would hold tens of thousands of texts."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(name)).removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; no word for null, empty and blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stage
+from feedloom.llm.common import stage, text_batches
 
 CHUNK = 1 << 14  # characters of a chunk; a text of fewer than two chunks is not cut
 BLOCK = 64  # chunks whose matrices are combined by one task
-CACHED_WORDS = 500_000  # encoded words kept per Python worker
+CACHED_WORDS = 250_000  # encoded words kept per Python worker
 GROUP = 300  # rows encoded together
 
 SPACE = "▁"  # how the model writes a space
@@ -106,10 +106,14 @@ class Pieces:
         self.words[""] = lone  # a single space at the end of a text
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of a sequence of ids; control ids say nothing, and bytes that are no text become U+FFFD."""
+    def decode(self, ids: np.ndarray, first: bool = True) -> str:
+        """The text of a sequence of ids; control ids say nothing, and bytes that are no text become U+FFFD.
+
+        The chunks of a text can be decoded apart, as a character is spelled in one chunk; `first` is the one that
+        starts with the space the model adds.
+        """
         raw = b"".join(map(self.spelled.__getitem__, ids.tolist())).decode(errors="replace")
-        return raw[1:] if raw.startswith(" ") else raw
+        return raw[1:] if first and raw.startswith(" ") else raw
 
     # Parts of words, by the lattice
 
@@ -300,8 +304,13 @@ def _ids_array(raw: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
 
 
+def _decoded(model: Pieces, found: list[bytes], first: list[bool]) -> pa.Array:
+    texts = [model.decode(np.frombuffer(raw, dtype="<i4"), one) for raw, one in zip(found, first, strict=True)]
+    return pa.array(texts, pa.string())
+
+
 def _encode_large(docs: DataFrame, model_file: str, chunk: int) -> DataFrame:
-    """(doc_id, source_sha256, ids) of texts that are cut."""
+    """(doc_id, source_sha256, ids, text) of texts that are cut."""
 
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         halo = pieces(model_file).longest
@@ -328,13 +337,16 @@ def _encode_large(docs: DataFrame, model_file: str, chunk: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_file)
-        for batch in batches:
-            parts = zip(*(batch.column(c).to_pylist() for c in ("before", "body", "after", "into", "out")), strict=True)
-            found = [Chunk(model, *p[:3]).encode(*p[3:]) for p in parts]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("row", "doc_id", "source_sha256", "chunk")), _ids_array(found)],
-                names=["row", "doc_id", "source_sha256", "chunk", "ids"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 50):
+                batch = whole.slice(at, 50)
+                parts = zip(*(batch.column(c).to_pylist() for c in ("before", "body", "after", "into", "out")), strict=True)
+                found = [Chunk(model, *p[:3]).encode(*p[3:]) for p in parts]
+                text = _decoded(model, found, [c == 0 for c in batch.column("chunk").to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("row", "doc_id", "source_sha256", "chunk")), _ids_array(found), text],
+                    names=["row", "doc_id", "source_sha256", "chunk", "ids", "text"],
+                )
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())  # fixed once the chunks are written
     chunks = numbered.mapInArrow(
@@ -348,13 +360,16 @@ def _encode_large(docs: DataFrame, model_file: str, chunk: int) -> DataFrame:
     settled = weights.join(borders, ["row", "block"]).groupBy("row", "block")
     states = stage(settled.applyInPandas(_settle_chunks, "row long, chunk int, into int, out int"), "states")
     encoded = chunks.join(states, ["row", "chunk"]).mapInArrow(
-        encode, "row long, doc_id long, source_sha256 string, chunk int, ids array<int>"
+        encode, "row long, doc_id long, source_sha256 string, chunk int, ids array<int>, text string"
     )
     whole = encoded.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("source_sha256").alias("source_sha256"),
-        F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"),
+        F.sort_array(F.collect_list(F.struct("chunk", "ids", "text"))).alias("parts"),
+    )
+    return whole.select(
+        "doc_id", "source_sha256", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"),
+        F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"),
     )
-    return whole.select("doc_id", "source_sha256", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
 def _encode_small(docs: DataFrame, model_file: str) -> DataFrame:
@@ -364,23 +379,25 @@ def _encode_small(docs: DataFrame, model_file: str) -> DataFrame:
             for at in range(0, whole.num_rows, GROUP):
                 batch = whole.slice(at, GROUP)
                 found = model.encode_runs([written(t) for t in batch.column("text").to_pylist()])
+                text = _decoded(model, found, [True] * len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("source_sha256"), _ids_array(found)],
-                    names=["doc_id", "source_sha256", "ids"],
+                    [batch.column("doc_id"), batch.column("source_sha256"), _ids_array(found), text],
+                    names=["doc_id", "source_sha256", "ids", "text"],
                 )
 
-    return docs.mapInArrow(encode, "doc_id long, source_sha256 string, ids array<int>")
+    return docs.mapInArrow(encode, "doc_id long, source_sha256 string, ids array<int>, text string")
 
 
 def encode_texts(docs: DataFrame, model_file: str, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, source_sha256, ids) for every row of `docs` (doc_id, text).
+    """(doc_id, source_sha256, ids, text) for every row of `docs` (doc_id, text).
 
-    ids are those of the sentencepiece library for the whole text; source_sha256 is the hash of the text that decoding
+    `text` is decoded from the ids, in the same pass so that one Python worker serves a task. ids are those of the sentencepiece library for the whole text; source_sha256 is the hash of the text that decoding
     has to give back. A null or empty text has no id. Rows are encoded one by one: repeated rows alike, a null id is
     kept. Texts of two chunks and more are cut. Other columns are not read; no documents give no rows.
     """
     if chunk < 64:
         raise ValueError("a chunk has to be longer than two pieces")
+    text_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     source = F.sha2(F.replace(text, F.lit(SPACE), F.lit(" ")).cast("binary"), 256)
     rows = docs.select("doc_id", "text", source.alias("source_sha256"))
@@ -407,6 +424,5 @@ def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
     A character U+2581 is a space to the model, and is compared as one.
     """
     encoded = encode_texts(docs, model_file)
-    decoded = decode_ids(encoded, model_file)
     same = F.sha2(F.col("text").cast("binary"), 256) == F.col("source_sha256")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text", same.alias("round_trip"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text", same.alias("round_trip"))
