@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import text_batches
+
 TRAIN_DOCUMENTS = 20_000  # labelled documents the model is fitted on, by smallest hash of their id
-KNOWN_WORDS = 60_000  # words kept per language, most frequent first
-KNOWN_GRAMS = 20_000  # n-grams kept per language
+KNOWN_WORDS = 20_000  # words kept per language, most frequent first
+KNOWN_GRAMS = 10_000  # n-grams kept per language
 LONGEST = 5  # n-grams of a word with its borders marked: 5, 4, 3, 2 and 1 characters
 UNKNOWN = "und"
-CACHED_WORDS = 200_000  # scores of unseen words kept per Python worker
+CACHED_WORDS = 50_000  # scores of unseen words kept per Python worker
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -43,8 +45,10 @@ class Model:
         """rows: (lang, kind `w` or `g`, key, count)."""
         self.languages = sorted({r[0] for r in rows})
         at = {lang: i for i, lang in enumerate(self.languages)}
-        self.words, self.grams = self._table(rows, "w", at), self._table(rows, "g", at)
-        self._unseen: dict[str, np.ndarray] = {}
+        self.words = self._table(rows, "w", at)
+        keys, table = self._table(rows, "g", at)
+        self.grams = dict(zip(keys, map(tuple, table.tolist()), strict=True))
+        self._unseen: dict[str, tuple[float, ...]] = {}
 
     @staticmethod
     def _table(rows, kind, at) -> tuple[dict[str, int], np.ndarray]:
@@ -62,37 +66,44 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_unseen": {}}
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> tuple[float, ...]:
         """Mean log frequency of the longest n-grams of which any is known; zeros if none is."""
         found = self._unseen.get(word)
         if found is None:
-            index, table = self.grams
-            found = np.zeros(len(self.languages))
+            found = (0.0,) * len(self.languages)
             for n in range(LONGEST, 0, -1):
-                known = [index[g] for g in grams(word, n) if g in index]
+                known = [row for g in grams(word, n) if (row := self.grams.get(g))]
                 if known:
-                    found = table[known].mean(axis=0)
+                    found = tuple(sum(column) / len(known) for column in zip(*known, strict=True))
                     break
             if len(self._unseen) >= CACHED_WORDS:
                 self._unseen.clear()
             self._unseen[word] = found
         return found
 
+    def forget(self) -> None:
+        """Give back what the last task remembered; the worker goes on to other work."""
+        self._unseen.clear()
+
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = word_counts(text) if text else None
         if not counts or not self.languages:
             return UNKNOWN, 0.0
         index, table = self.words
-        known, times, total = [], [], np.zeros(len(self.languages))
+        known, times, backed, often = [], [], [], []
         for word, n in counts.items():
             at = index.get(word)
             if at is None:
-                total += n * self.unseen(word)
+                backed.append(self.unseen(word))
+                often.append(n)
             else:
                 known.append(at)
                 times.append(n)
+        total = np.zeros(len(self.languages))
         if known:
             total += np.asarray(times, dtype=float) @ table[known]
+        if backed:
+            total += np.asarray(often, dtype=float) @ np.asarray(backed)
         best = int(total.argmax())  # the first in the order of names among equals
         return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
@@ -124,6 +135,7 @@ def fit(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model:
     Only the ids of the sample and the most frequent words and n-grams of each language reach the driver; both
     numbers are bounded by the parameters.
     """
+    text_batches(labelled.sparkSession)
     labelled = labelled.filter("text is not null and lang is not null and doc_id is not null")
     chosen = labelled.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("_at")).distinct()
     chosen = chosen.orderBy("_at", "doc_id").limit(documents)
@@ -143,6 +155,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A null text, one without a letter, and any text under a model without languages get `und` and 0. Rows are
     judged one by one: repeated rows alike, none dropped, whole texts of any length.
     """
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = "struct<lang_pred:string,score:double>"
 
@@ -150,6 +163,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame([held.value.predict(t) for t in batch], columns=["lang_pred", "score"])
+        held.value.forget()
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.select(*kept, predict("text").alias("_predicted"))

@@ -23,14 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stage
+from feedloom.llm.common import stage, text_batches
 
 WINDOW = 50
 PERIOD = 31
 COVER = np.array([1, 5, 11, 24, 25, 27])  # every shift modulo 31 is the difference of two of these
 ANCHOR = WINDOW - PERIOD + 1
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have an inverse modulo 2^64
-HELD_ROWS = 1_500_000  # keys a task holds before it settles and sends them
+HELD_ROWS = 800_000  # keys a task holds before it settles and sends them
 
 
 @cache
@@ -338,6 +338,7 @@ def drop_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     is neither smaller nor larger than any: its row stays whole. A null text has no word. Other columns are not
     read; no documents give no rows.
     """
+    text_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     told = docs.filter("doc_id is not null and text is not null")
     shared = _chosen_places(told, _anchor_rows, shared_anchors)
