@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stage
+from feedloom.llm.common import stage, text_batches
 from feedloom.llm.components import connected_components
 from feedloom.llm.substring_dedup import split_words, window_hashes, word_hashes
 
@@ -105,7 +105,8 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
     """(node, component) of nodes that share a bucket with another: each bucket ties its nodes to the smallest one."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
-    ties = buckets.join(least.select("bucket", "first"), "bucket").filter("node <> first").select("node", "first").distinct()
+    least = stage(least.select("bucket", "first"), "buckets")  # a plain table: a hot bucket can be split in the join
+    ties = buckets.join(least, "bucket").filter("node <> first").select("node", "first").distinct()
     return connected_components(ties, "node", "first")
 
 
@@ -185,7 +186,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
     cut = sizes.select(
         "component", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    placed = inside.join(cut, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = inside.join(stage(cut, "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = stage(placed.select("node", "members", "doc_id", "_text_hash", "component", "blocks", "block"), "placed")
 
     # The share of documents with a partner is the same at any size, so the plan is too: texts move once.
@@ -220,6 +221,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     one to four words is one 5-gram. Rows are told apart by id and text: repeated rows count as copies. A null id is
     never the smallest unless its class has no other. Other columns are not read; no documents give no rows.
     """
+    text_batches(docs.sparkSession)
     marks = stage(mark(docs), "marks")
     with_words = marks.filter("node is not null")
     pick = F.min(F.struct("doc_id", "_text_hash"))
@@ -234,7 +236,7 @@ def join_similar(docs: DataFrame) -> DataFrame:
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     joined = nodes.select("node", "members", "least").join(counted, "node", "left").join(classes, "node", "left")
     joined = stage(joined.withColumn("component", F.coalesce("component", "node")), "classes")
-    named = joined.groupBy("component").agg(F.min("least").alias("class_id"))
+    named = stage(joined.groupBy("component").agg(F.min("least").alias("class_id")), "class-ids")
     per_node = joined.join(named, "component").select(
         "node", "class_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )

@@ -112,7 +112,7 @@ def judge_urls(
     edges = stage(edges.filter("source is not null and target is not null").distinct(), "links")
     classes = stage(connected_components(edges, "source", "target"), "classes")
     _, verdict = deciding_rule(host_of(F.col("node")), path_of(F.col("node")), rules)
-    blocked = classes.filter(verdict == "block").select("component").distinct()
+    blocked = stage(classes.filter(verdict == "block").select("component").distinct(), "blocked")
     aliases = classes.join(blocked, "component", "left_semi").select(F.col("node").alias("_key"), F.lit(True).alias("_alias"))
 
     judged = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
