@@ -14,12 +14,14 @@ from feedloom.operators.groups import (
     BLOCK_IMPORTS,
     BLOCK_ROWS,
     block_of,
+    broadcast_if_small,
     number_rows,
     previous_value,
     previous_written,
     spread_join,
 )
 from feedloom.rules import BATCH_SIZE, OPTIONAL_FIELDS, PRODUCT_FIELDS
+from feedloom.session import stage
 
 KEY = ["catalog_id", "sku"]
 ORDER = ["import_id", "row_number"]
@@ -112,18 +114,35 @@ def resume_rows(valid: DataFrame, ledger: DataFrame, batch_size: int | Column =
 # --- replay ----------------------------------------------------------------------------------
 
 
-def _key_block() -> Column:
-    # Imports are bounded by the row cap, so a few of them bound a block of even the hottest key.
-    return block_of("import_id", BLOCK_IMPORTS)
+def block_offsets(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame | None:
+    """(import_id, _offset): by how many blocks imports move up to make room for long ones before them.
 
-
-def apply_actions(rows: DataFrame, products: DataFrame) -> DataFrame:
-    """Add `action` to each row, given everything loaded before it."""
+    None, after one look at the row numbers, where no import is longer than a block; pass stored rows.
+    """
+    if rows.filter(F.col("row_number") >= block_rows).isEmpty():
+        return None
+    extra = rows.groupBy("import_id").agg(block_of(F.max("row_number"), block_rows).alias("_extra"))
+    before = Window.orderBy("import_id").rowsBetween(Window.unboundedPreceding, -1)  # a row per import
+    return extra.select("import_id", F.coalesce(F.sum("_extra").over(before), F.lit(0)).alias("_offset"))
+
+
+def _key_blocks(rows: DataFrame, offsets: DataFrame | None, block_rows: int) -> tuple[DataFrame, Column]:
+    """Rows of a key in blocks that follow (import_id, row_number): a few imports, or part of a long one."""
+    block = block_of("import_id", BLOCK_IMPORTS)
+    if offsets is None:
+        return rows, block
+    moved = rows.join(broadcast_if_small(stage(offsets, "offsets")), "import_id", "left")
+    return moved, block + F.coalesce("_offset", F.lit(0)) + block_of("row_number", block_rows)
+
+
+def apply_actions(
+    rows: DataFrame, products: DataFrame, offsets: DataFrame | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add `action` to each row, given everything loaded before it. `offsets`: see `block_offsets`."""
     stored = F.lit(STORED).cast("bigint")
     first = products.select(*KEY, stored.alias("import_id"), stored.alias("row_number"), "row_hash")
-    replay = previous_value(
-        rows.unionByName(first, allowMissingColumns=True), KEY, _key_block(), ORDER, "row_hash", "_seen"
-    ).filter(F.col("import_id") > STORED)
+    both, block = _key_blocks(rows.unionByName(first, allowMissingColumns=True), offsets, block_rows)
+    replay = previous_value(both, KEY, block, ORDER, "row_hash", "_seen").filter(F.col("import_id") > STORED).drop("_offset")
     action = (
         F.when(F.col("_seen").isNull(), F.lit("create"))
         .when(F.col("_seen") == F.col("row_hash"), F.lit("skip"))
@@ -174,10 +193,13 @@ def _replay(actions: DataFrame, products: DataFrame) -> DataFrame:
     return first.unionByName(rows, allowMissingColumns=True)
 
 
-def field_changes(actions: DataFrame, products: DataFrame) -> DataFrame:
+def field_changes(
+    actions: DataFrame, products: DataFrame, offsets: DataFrame | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """The audit: per created or updated row, the fields it changed with old and new value as text."""
     writes = [f"w_{f}" for f in PRODUCT_FIELDS]
-    replay = previous_written(_replay(actions, products), KEY, _key_block(), ORDER, writes)
+    both, block = _key_blocks(_replay(actions, products), offsets, block_rows)
+    replay = previous_written(both, KEY, block, ORDER, writes)
     rows = replay.filter(F.col("action").isin("create", "update"))
     change = "struct<field:string,old:string,new:string>"
     create = F.col("action") == "create"

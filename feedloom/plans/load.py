@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.operators.apply import (
     apply_actions,
     batch_ledger,
+    block_offsets,
     changes_json,
     field_changes,
     merged_catalog,
@@ -107,13 +108,14 @@ def load_feeds(
     if not catalogs:
         return last
     touched = store.read_products(spark, root, catalogs)
-    actions = stage(apply_actions(todo, touched), "actions")
+    offsets = block_offsets(todo)
+    actions = stage(apply_actions(todo, touched, offsets), "actions")
     when = applied_at if applied_at is not None else F.current_timestamp()
     store.publish(
         root,
         last + 1,
         merged_catalog(actions, touched, when),
-        changes_json(field_changes(actions, touched)),
+        changes_json(field_changes(actions, touched, offsets)),
         batch_ledger(actions),
     )
     return last + 1

@@ -358,6 +358,8 @@ CTES["products"] = f"""
 
 load_steps("feed", "products")
 load_steps("file", None)
+CTES["hot_valid"] = "SELECT * REPLACE (CASE WHEN row_number % 3 = 0 THEN 'HOT' ELSE sku END AS sku) FROM feed_valid"
+load_steps("hot", "products")
 
 CTES["ledger"] = "SELECT * FROM feed_book WHERE import_id % 2 = 1 AND batch_number <= 2"
 CTES["dry"] = """
@@ -670,6 +672,7 @@ Q["product_search"] = """
   WHERE catalog_id = 2 AND (contains(lower(sku), 'ring') OR contains(lower(name), 'ring')) ORDER BY sku LIMIT 50"""
 Q["apply_actions"] = "SELECT import_id, row_number, batch_number, catalog_id, sku, action FROM feed_acts"
 Q["apply_changes"] = "SELECT * FROM feed_audit"
+Q["apply_hot"] = "SELECT * FROM hot_audit"
 Q["merged_catalog"] = f"""
   SELECT m.catalog_id, m.sku, m.name, m.price_cents, m.stock, m.category, m.description, m.image_url, m.row_hash,
     CASE WHEN import_id = 0 THEN last_import_id ELSE import_id END AS last_import_id,
