@@ -21,8 +21,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import text_batches
-
 END_ID = 0
 BLOCK_BYTES = 2 << 20  # compressed bytes after which a block is closed
 DICTIONARY_BYTES = 64 << 10
@@ -179,7 +177,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str) -> None:
     not read; no documents give no blocks.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     docs = docs.select("doc_id", "text")
     dictionary = train_dictionary(docs, tokenizer_file)
     name = _hash(dictionary)
