@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import text_batches
 
 TRAIN_DOCUMENTS = 20_000  # labelled documents the model is fitted on, by smallest hash of their id
-KNOWN_WORDS = 20_000  # words kept per language, most frequent first
-KNOWN_GRAMS = 10_000  # n-grams kept per language
+KNOWN_WORDS = 60_000  # words kept per language, most frequent first
+KNOWN_GRAMS = 20_000  # n-grams kept per language
 LONGEST = 5  # n-grams of a word with its borders marked: 5, 4, 3, 2 and 1 characters
 UNKNOWN = "und"
 CACHED_WORDS = 50_000  # scores of unseen words kept per Python worker
@@ -45,9 +45,7 @@ class Model:
         """rows: (lang, kind `w` or `g`, key, count)."""
         self.languages = sorted({r[0] for r in rows})
         at = {lang: i for i, lang in enumerate(self.languages)}
-        self.words = self._table(rows, "w", at)
-        keys, table = self._table(rows, "g", at)
-        self.grams = dict(zip(keys, map(tuple, table.tolist()), strict=True))
+        self.words, self.grams = self._table(rows, "w", at), self._table(rows, "g", at)
         self._unseen: dict[str, tuple[float, ...]] = {}
 
     @staticmethod
@@ -70,11 +68,12 @@ class Model:
         """Mean log frequency of the longest n-grams of which any is known; zeros if none is."""
         found = self._unseen.get(word)
         if found is None:
+            index, table = self.grams
             found = (0.0,) * len(self.languages)
             for n in range(LONGEST, 0, -1):
-                known = [row for g in grams(word, n) if (row := self.grams.get(g))]
+                known = [at for g in grams(word, n) if (at := index.get(g)) is not None]
                 if known:
-                    found = tuple(sum(column) / len(known) for column in zip(*known, strict=True))
+                    found = tuple((np.add.reduce(table[known]) / len(known)).tolist())
                     break
             if len(self._unseen) >= CACHED_WORDS:
                 self._unseen.clear()
@@ -146,7 +145,8 @@ def fit(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model:
     kept = counts.withColumn("_place", place).filter(
         F.col("_place") <= F.when(F.col("kind") == "w", KNOWN_WORDS).otherwise(KNOWN_GRAMS)
     )
-    return Model(sorted(tuple(r) for r in kept.select("lang", "kind", "key", "n").collect()))
+    found = kept.select("lang", "kind", "key", "n").toArrow()  # columns: rows of Python objects take the driver several times more
+    return Model(sorted(zip(*(found[c].to_pylist() for c in found.column_names), strict=True)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

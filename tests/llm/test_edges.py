@@ -248,6 +248,15 @@ def test_op6_backs_off_to_shorter_grams():
     assert model.predict("123") == ("und", 0.0) and 0.5 <= model.predict("asche")[1] <= 1
 
 
+def test_op6_keeps_60000_words_and_20000_grams(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    unlike = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:4]][:62_000]
+    rows = [(i, " ".join(unlike[at : at + 500]), "en") for i, at in enumerate(range(0, len(unlike), 500))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert (len(model.words[0]), len(model.grams[0])) == (60_000, 20_000)
+    assert model.grams[1].shape == (20_000, 1)
+
+
 def test_op7_edges(docs, none):
     rows = secret_scans.secret_digest(docs).collect()
     assert len(rows) == len(ROWS) and all(r["spans"] == "" for r in rows)
