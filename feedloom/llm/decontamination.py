@@ -5,18 +5,27 @@ exchanged. Hashes of all positions of documents and benchmark items are joined;
 shift, and around it the overlap is compared token by token. A document is contaminated by an item if some
 stretch of 13 tokens (or the whole item, if shorter) agrees in at least 80 % of its tokens. Only DataFrame
 functions run.
+
+No stretch is missed: the masks are as many as hit every exchange of tokens that the rule allows in the shortest
+item of ten or more tokens, and an item of fewer is sought whole, with each of its tokens left out in turn where
+the rule allows one exchange.
 """
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import let, small_enough, stage
 
-# The positions each mask looks at.
-MASKS = ((0, 1, 3, 6, 8, 9), (0, 2, 3, 4, 7, 9))
+# The positions each mask looks at, and how many of the masks are needed for a stretch of so many tokens.
+MASKS = (
+    (0, 1, 3, 6, 8, 9), (0, 2, 3, 4, 7, 9), (0, 1, 4, 5, 6, 9), (2, 4, 6, 7, 8, 9), (0, 2, 3, 4, 6, 8), (0, 1, 2, 5, 7, 8),
+    (1, 3, 4, 5, 8, 9), (1, 2, 3, 5, 6, 7), (0, 3, 5, 6, 7, 8),
+)
+NEEDED = {10: 9, 11: 5, 12: 4, 13: 3}
 SPAN = 10
 STRETCH = 13
 SIMILARITY = 0.8
@@ -32,25 +41,41 @@ def tokens(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
-def seeds(found: Column) -> Column:
-    """For each place at which the masks fit, one hash per mask, one after the other."""
+def whole_masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """Masks over a whole item of `n` tokens, fewer than ten: all but one each from five tokens on, where one may differ."""
+    if n - math.ceil(n * SIMILARITY) == 0:
+        return (tuple(range(n)),)
+    return tuple(tuple(j for j in range(n) if j != out) for out in range(n))
+
+
+def seeds(found: Column, span: int, masks: tuple[tuple[int, ...], ...], first: int = 0) -> Column:
+    """For each place at which the masks fit, one hash per mask, one after the other; `first` numbers the masks."""
 
     def at(h: Column) -> Column:
         n = F.size(h)
-        places = F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN)).otherwise(F.array().cast("array<int>"))
+        places = F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
         return F.flatten(
             F.transform(
                 places,
-                lambda i: F.array(*[F.xxhash64(F.lit(k), *[F.get(h, i + j) for j in mask]) for k, mask in enumerate(MASKS)]),
+                lambda i: F.array(*[F.xxhash64(F.lit(first + k), *[F.get(h, i + j) for j in mask]) for k, mask in enumerate(masks)]),
             )
         )
 
     return let(F.transform(found, lambda t: F.xxhash64(t)), at)
 
 
-def _places(df: DataFrame, keys: list[str]) -> DataFrame:
-    listed = df.select(*keys, F.posexplode(seeds(F.col("_tokens"))).alias("_n", "_seed"))
-    return listed.select(*keys, F.call_function("div", F.col("_n"), F.lit(len(MASKS))).alias("_place"), "_seed")
+def _places(df: DataFrame, keys: list[str], sizes: list[int], items: bool = False) -> DataFrame:
+    """Seeds by place, for items of the given sizes; an item itself has only those of its own size."""
+    long = [n for n in sizes if n >= SPAN]
+    shapes = [(SPAN, MASKS[: NEEDED[min(min(long), STRETCH)]], 0)] if long else []
+    shapes += [(n, whole_masks(n), 100 * n) for n in sizes if 0 < n < SPAN]
+    out = None
+    for span, masks, first in shapes:
+        own = df.filter(F.size("_tokens") == span) if items and span < SPAN else df
+        listed = own.select(*keys, F.posexplode(seeds(F.col("_tokens"), span, masks, first)).alias("_n", "_seed"))
+        listed = listed.select(*keys, F.call_function("div", F.col("_n"), F.lit(len(masks))).alias("_place"), "_seed")
+        out = listed if out is None else out.unionByName(listed)
+    return df.select(*keys, F.lit(0).cast("long").alias("_place"), F.lit(0).cast("long").alias("_seed")).limit(0) if out is None else out
 
 
 def _agrees(item: Column, doc: Column, shift: Column) -> Column:
@@ -77,14 +102,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, _text_hash, item_id) for every row of `docs` and every item that contaminates it, once each.
 
     Rows are told apart by id and hash of the text, so repeated rows share a result and rows that only share an id
-    do not; a null id is an id. Null texts, and texts and items of fewer than ten tokens, have no hits.
+    do not; a null id is an id. Null texts, and texts and items without a token, have no hits.
     """
     keys = ["doc_id", "_text_hash"]
     read = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), tokens(F.col("text")).alias("_tokens"))
     bench = stage(items.select("item_id", tokens(F.col("text")).alias("_tokens")).distinct(), "items")
-    bench_seeds = stage(_places(bench, ["item_id"]).withColumnRenamed("_place", "_item_place").distinct(), "seeds")
+    sizes = sorted(bench.agg(F.collect_set(F.least(F.size("_tokens"), F.lit(STRETCH)))).first()[0])
+    bench_seeds = _places(bench, ["item_id"], sizes, items=True).withColumnRenamed("_place", "_item_place")
+    bench_seeds = stage(bench_seeds.distinct(), "seeds")
     probe = F.broadcast(bench_seeds) if small_enough(bench_seeds, BROADCAST_SEEDS) else bench_seeds
-    hits = _places(read, keys).join(probe, "_seed")
+    hits = _places(read, keys, sizes).join(probe, "_seed")
     hits = hits.select(*keys, "item_id", (F.col("_place") - F.col("_item_place")).cast("int").alias("_shift")).distinct()
     hits = stage(hits, "hits")
 

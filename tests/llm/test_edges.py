@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import itertools
+import math
 import random
 
 import numpy as np
@@ -311,6 +313,43 @@ def test_op8_tolerates_exchanged_words(spark):
     assert {r["doc_id"] for r in found if r["contaminated"]} == set(range(30))
 
 
+def test_op8_masks_hit_every_allowed_exchange():
+    for n, count in decontamination.NEEDED.items():
+        for spare in itertools.combinations(range(n), n - math.ceil(n * decontamination.SIMILARITY)):
+            fits = [m for m in decontamination.MASKS[:count] for i in range(n - 9) if not any(i + j in spare for j in m)]
+            assert fits, (n, spare)
+
+
+def test_op8_against_a_search_without_seeds(spark):
+    rng = random.Random(8)
+    items = [(n, [f"w{n}x{k}" for k in range(n)]) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 20)]
+    docs = []
+    for n, words in items:
+        wide = min(n, 13)
+        for out in itertools.combinations(range(wide), min(2, wide)):
+            for places in (out[:0], out[:1], out):
+                at = rng.randint(0, n - wide)
+                part = ["other" if k in places else w for k, w in enumerate(words[at : at + wide])]
+                docs.append(" ".join([prose(len(docs), rng.randint(0, 4)), *part, prose(len(docs) + 9999, rng.randint(0, 4))]).split())
+    found = decontamination.leaks(
+        spark.createDataFrame([(i, ", ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(n, " ".join(w).upper()) for n, w in items], "item_id long, text string"),
+    )
+
+    def leaked(doc, item):
+        wide = min(len(item), 13)
+        least = math.ceil(wide * decontamination.SIMILARITY)
+        return any(
+            sum(a == b for a, b in zip(doc[i : i + wide], item[j : j + wide], strict=True)) >= least
+            for i in range(len(doc) - wide + 1)
+            for j in range(len(item) - wide + 1)
+        )
+
+    expected = {(i, n) for i, d in enumerate(docs) for n, w in items if leaked(d, w)}
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == expected
+    assert {n for _, n in expected} == {n for n, _ in items} and len(expected) < len(docs)
+
+
 def test_op9_edges(docs, none):
     found = sorted(((str(r["doc_id"]), r["class_id"], r["n_links"]) for r in jaccard_join.join_similar(docs).collect()), key=str)
     assert found == sorted(
