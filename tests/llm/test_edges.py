@@ -287,6 +287,21 @@ def test_op7_network_learns_and_keeps_base_spans():
     assert secret_scans.train(windows[:5], np.ones(5)) is None
 
 
+def key_of(rng, n, letters):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+MIXED = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def test_op7_learns_from_all_documents(spark):
+    rng = random.Random(10)
+    rows = [(i, f"{prose(i, 3)} {key_of(rng, 40, '0123456789abcdef') if i == 29_000 else ''} internationalization{i}") for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    kept = docs.select("text").mapInPandas(secret_scans._findings(5), "at long, windows binary, label long, shape long").collect()
+    assert sum(r["label"] for r in kept) == 1 and sum(1 - r["label"] for r in kept) <= 8 * 2 * 5
+
+
 def test_op8_edges(spark, docs, none):
     items = [(1, PASSAGE), (1, PASSAGE), (2, None), (3, ""), (4, "too short"), (None, prose(3, 30))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("_seed", F.lit(1))
