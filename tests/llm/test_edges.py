@@ -302,6 +302,21 @@ def test_op7_learns_from_all_documents(spark):
     assert sum(r["label"] for r in kept) == 1 and sum(1 - r["label"] for r in kept) <= 8 * 2 * 5
 
 
+def test_op7_reads_candidates_to_their_end(spark, none):
+    rng = random.Random(11)
+    net = secret_scans.fit(none)
+    path, key = "some/long/path/to/a/file/in/the/folder/of/the/project/", key_of(rng, 32, MIXED + "0123456789")
+    plain = secret_scans.scored(path + path, [], net)[0][2]
+    keyed = secret_scans.scored(path + path + key, [], net)[0][2]
+    assert keyed > plain and keyed >= net.threshold
+    text = f"{'ab' * 16}/{path}{key}"
+    assert secret_scans.base_spans(text) == [("hex", 0, 32)]
+    assert ("network", 32, len(text)) in [s[:3] for s in secret_scans.spans_of(text, net)]
+    for n in (12, 39, 40, 41, 60, 61, 1000):
+        at = secret_scans.places(5, 5 + n)
+        assert at[0] == 5 and max(b - a for a, b in itertools.pairwise([*at, at[-1]])) <= 20 and max(at[-1] + 40, 5 + n) >= 5 + n
+
+
 def test_op8_edges(spark, docs, none):
     items = [(1, PASSAGE), (1, PASSAGE), (2, None), (3, ""), (4, "too short"), (None, prose(3, 30))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("_seed", F.lit(1))
