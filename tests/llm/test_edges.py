@@ -294,6 +294,17 @@ def key_of(rng, n, letters):
 MIXED = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def test_op7_trains_on_any_input_and_finds_keys(spark, none):
+    rng = random.Random(9)
+    texts = [f"{prose(i, 8)} {key_of(rng, 24, MIXED)} {prose(i + 1, 8)}" for i in range(40)]
+    texts += [f"{prose(i, 8)} {'Bundesverfassungsgericht' if i % 2 else 'internationalization'} {prose(i + 1, 8)}" for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_network"] for r in secret_scans.secret_digest(rows).collect()}
+    assert sum(found[i] == 1 for i in range(40)) >= 36 and sum(found[i] for i in range(40, 80)) <= 4
+    assert secret_scans.fit(none) is not None
+    assert secret_scans.seed_findings(1) == secret_scans.seed_findings(1) and len(secret_scans.seed_findings(0)) == 200
+
+
 def test_op7_learns_from_all_documents(spark):
     rng = random.Random(10)
     rows = [(i, f"{prose(i, 3)} {key_of(rng, 40, '0123456789abcdef') if i == 29_000 else ''} internationalization{i}") for i in range(30_000)]
