@@ -106,3 +106,41 @@ counts AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY 1)
 SELECT w.doc_id, coalesce(c.class_id, w.doc_id) AS class_id, coalesce(k.n_links, 0) AS n_links
 FROM w LEFT JOIN classes c USING (doc_id) LEFT JOIN counts k USING (doc_id)
 """
+
+ORACLE["op11_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'role': role, 'text': text}
+    ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text), length(text)) AS seq
+  FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, seq, xor(4294967295, list_reduce(
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda a, c: list_reduce(range(0, 8),
+      lambda b, k: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END, xor(a, c)),
+    4294967295::BIGINT)) % 6 AS h
+  FROM own
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.seq[1:c.h], []), c.seq[c.h + 1:]) AS seq
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+), prefixes AS (
+  SELECT conv_id, len(seq) AS n, d, seq[1:d] AS p FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY p, d
+), families AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (
+  SELECT n.*, coalesce(f.n_children, 0) AS n_children,
+    CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * length(n.p[n.d].text) END AS saved
+  FROM nodes n LEFT JOIN families f ON f.p = n.p AND f.d = n.d
+), subtrees AS (
+  SELECT p[1:k] AS p, k AS d, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT p, saved, n_children, unnest(range(0, d + 1)) AS k FROM counted) GROUP BY ALL
+)
+SELECT c.conv_id, c.d::BIGINT AS depth, u.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves,
+  s.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN subtrees s ON s.p = c.p AND s.d = c.d
+LEFT JOIN nodes u ON c.d > 0 AND u.d = c.d - 1 AND u.p = c.p[1:c.d - 1]
+"""
