@@ -16,15 +16,20 @@ from feedloom.functions.text import js_trim
 _END = "(?:\\r\\n|\\n|\\r|\\z)"
 
 
-def _quoted(delimiter: str) -> str:
-    close = f" *+(?:{re.escape(delimiter)}|{_END})"
-    return f'"[^"]*+(?:(?:""|"(?!{close}))[^"]*+)*+" *+(?={re.escape(delimiter)}|{_END})'
+def _quoted(delimiter: str, end: str = _END) -> str:
+    close = f" *+(?:{re.escape(delimiter)}|{end})"
+    return f'"[^"]*+(?:(?:""|"(?!{close}))[^"]*+)*+" *+(?={re.escape(delimiter)}|{end})'
 
 
 def _unquoted(delimiter: str) -> str:
     return f'(?!")[^{re.escape(delimiter)}\\r\\n]*+'
 
 
+def cell_pattern(delimiter: str, end: str = _END) -> str:
+    """One closed cell; `end` matches where a record ends."""
+    return f"(?:{_quoted(delimiter, end)}|{_unquoted(delimiter)})"
+
+
 def _by_delimiter(delimiter: Column, build) -> Column:
     """`build(d)` for whichever of the four delimiters the row uses."""
     chosen = None
@@ -57,7 +62,7 @@ def ends_inside_quotes(line: Column, delimiter: str | Column) -> Column:
     """True when a quoted cell opened on this line is not closed on it."""
 
     def test(d: str) -> Column:
-        cell = f"(?:{_quoted(d)}|{_unquoted(d)})"
+        cell = cell_pattern(d)
         return ~line.rlike(f"\\A{cell}(?:{re.escape(d)}{cell})*+\\z")
 
     found = test(delimiter) if isinstance(delimiter, str) else _by_delimiter(delimiter, test)
