@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,7 +128,7 @@ def _judge(text: str, own: bytes, following: str, other: bytes, fraction: int, l
 def compare_edits(docs: DataFrame, fraction: int = FRACTION, least: int = LEAST) -> DataFrame:
     """Every row of `docs` (doc_id, text) with its fingerprint, that of its edited text, and their likeness.
 
-    The document that follows is the next one by ascending doc_id (a null id first; equal ids by hash of the text, then
+    The document that follows is the next one by ascending doc_id (a null id first; equal ids by hash of the
     text), the first one after the last. Rows are dealt by ranges of that order and read as a stream; each task keeps one
     row until the next arrives. What the last row of a task needs from the next task comes in a second, small pass over
     the first and the last row of every task. A null text counts as an empty one; a single row follows itself; repeated
@@ -137,6 +138,7 @@ def compare_edits(docs: DataFrame, fraction: int = FRACTION, least: int = LEAST)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows, held, first = TaskContext.get().partitionId(), [], None, True
+        unpress = zstandard.ZstdDecompressor()
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROW, strict=True)], schema=ROW)
@@ -147,8 +149,8 @@ def compare_edits(docs: DataFrame, fraction: int = FRACTION, least: int = LEAST)
             return (part, is_first, last, doc_id, len(text), judged[0], own, *judged[1:], text if is_first or last else None)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py() or ""
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("_packed"), strict=True):
+                text = unpress.decompress(raw.as_py()).decode()
                 item = (doc_id, text, sketch(shingles(text), fraction, least), first)
                 if held:
                     rows.append(row(held, *_judge(held[1], held[2], text, item[2], fraction, least)))
@@ -161,8 +163,16 @@ def compare_edits(docs: DataFrame, fraction: int = FRACTION, least: int = LEAST)
         if rows:
             yield flush()
 
-    hashed = F.xxhash64("text")
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", hashed, "text").sortWithinPartitions("doc_id", hashed, "text")
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = [press.compress((t.as_py() or "").encode()) for t in batch.column("text")]
+            columns = [batch.column("doc_id"), batch.column("_hash"), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_hash", "_packed"])
+
+    named = docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text")
+    packed = named.mapInArrow(squeeze, "doc_id long, _hash long, _packed binary")  # texts travel compressed
+    dealt = packed.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "_packed")
     stored = stage(dealt.mapInArrow(read, ROW_DDL), "fingerprints")
 
     # One row of two numbers for each task that had rows: which task's first row follows its last one.
