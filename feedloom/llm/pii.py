@@ -1,9 +1,9 @@
 """Personal data: validated numbers, dates and addresses replaced by format-preserving Feistel pseudonyms.
 
 Each value is permuted under a key within its own format: a card number stays one that passes its check digit,
-a date stays a date, an address of four octets stays one, and punctuation stays where it is. Equal values get
-equal pseudonyms in all documents, and the holder of the key can turn them back. Only DataFrame functions run,
-within each row.
+a date stays a date written the same way, an address of four octets stays one, and punctuation stays where it is. Equal
+values get equal pseudonyms in all documents, and the holder of the key can turn them back. Only DataFrame functions
+run, within each row. The key is a literal of the plan: whoever may read plans and event logs of the job can read it.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ ROUNDS = 8
 KEY = "feedloom-demonstration-key"  # for tests and the registered query; callers give their own
 
 # The formats that are looked for, first match first.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE_YMD = r"(?<![0-9])(?<![0-9][-/.])[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{1,2}(?![0-9]|[-/.][0-9])"
@@ -33,8 +33,21 @@ SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
 ANY = "|".join((EMAIL, IBAN, IPV4, DATE_YMD, DATE_DMY, PHONE, SOCIAL, CARD))
 
-CYCLE, CYCLE_LEFT, CYCLE_RIGHT = 146_097, 189, 773  # days of 400 years, and the two factors they are split into
-EPOCH = "1700-01-01"
+YEARS, LEAP_YEARS = 9_999, 2_424  # 0001 to 9999
+LEAPS = [y for y in range(1, 401) if y % 4 == 0 and (y % 100 or y % 400 == 0)]  # of 400 years
+LEAP_DAY = 229
+
+
+def days_of(months: int, first: int, last: int) -> list[int]:
+    """month * 100 + day of the days `first` to `last` of the first months; 29 February, which not all years have, is last."""
+    length = {m: 29 if m == 2 else 30 if m in (4, 6, 9, 11) else 31 for m in range(1, 13)}
+    days = [100 * m + d for m in range(1, months + 1) for d in range(first, min(last, length[m]) + 1)]
+    return sorted(days, key=lambda day: (day == LEAP_DAY, day))
+
+
+# The days that a date as written can stand for, by the months and the days that its digits leave: a month of one
+# digit, a day of one digit, and a day over 12, which alone tells that the month stands first.
+SHAPES = {(months, first, last): days_of(months, first, last) for months in (9, 12) for first, last in ((1, 9), (1, 31), (13, 31))}
 
 
 def _stream(key: str, tweak: Column, step: int, other: Column) -> Column:
@@ -50,8 +63,8 @@ def _number(digest: Column, at: Column | int, width: int) -> Column:
 def _shift(half: Column, digest: Column, sign: int) -> Column:
     """Every digit moved among the digits, every ASCII letter among its case; other characters stay."""
 
-    def moved(c: Column, i: Column) -> Column:
-        by = F.lit(sign) * _number(digest, (i % 32) * 2 + 1, 2)
+    def moved(c: Column, i: Column, d: Column) -> Column:
+        by = F.lit(sign) * _number(d, (i % 32) * 2 + 1, 2)
 
         def within(first: str, n: int) -> Column:
             low = ord(first)
@@ -64,7 +77,9 @@ def _shift(half: Column, digest: Column, sign: int) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), moved), "")
+    # The digest is worked out once, not for every character.
+    chars = F.filter(F.split(half, ""), lambda c: c != "")
+    return F.array_join(let(digest, lambda d: F.transform(chars, lambda c, i: moved(c, i, d))), "")
 
 
 def permute_text(value: Column, key: str, tweak: str, back: bool = False) -> Column:
@@ -183,8 +198,8 @@ def _iban(value: Column, key: str, back: bool) -> Column:
     return let(body, write)
 
 
-def _date_parts(value: Column) -> tuple[Column, Column]:
-    """The three numbers of a date as written, as an array, and the ISO form they stand for.
+def _date_parts(value: Column) -> tuple[Column, Column, Column, Column]:
+    """(year first, month first, the three numbers of a date as written, the ISO form they stand for).
 
     Day before month unless the second number can only be a day.
     """
@@ -194,42 +209,90 @@ def _date_parts(value: Column) -> tuple[Column, Column]:
     year = F.when(year_first, parts[0]).otherwise(parts[2])
     month = F.when(year_first, parts[1]).when(month_first, parts[0]).otherwise(parts[1])
     day = F.when(year_first, parts[2]).when(month_first, parts[1]).otherwise(parts[0])
-    return parts, F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    return year_first, month_first, F.array(year, month, day), F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
 
 
 def _is_date(value: Column) -> Column:
-    return _date_parts(value)[1].try_cast("date").isNotNull()
+    """A day of the years 0001 to 9999."""
+    _, _, numbers, iso = _date_parts(value)
+    return iso.try_cast("date").isNotNull() & (numbers[0] != "0000")
 
 
-def _date(value: Column, key: str, back: bool) -> Column:
-    parts, iso = _date_parts(value)
-    start = F.lit(EPOCH).cast("date")
-    days = F.datediff(iso.try_cast("date"), start).cast("long")
-
-    def write(d: Column) -> Column:
-        era = F.floor(d / CYCLE) * CYCLE
-        inside = F.pmod(d, F.lit(CYCLE))
-        pair = permute_pair(
-            F.call_function("div", inside, F.lit(CYCLE_RIGHT)), inside % CYCLE_RIGHT, (CYCLE_LEFT, CYCLE_RIGHT), key, "date", back
-        )
-        return let(let(pair, lambda p: F.date_add(start, (era + p["l"] * CYCLE_RIGHT + p["r"]).cast("int"))), spell)
+def _is_leap(year: Column) -> Column:
+    return (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
 
-    def spell(new: Column) -> Column:
-        year_first = F.length(parts[0]) == 4
-        month_first = ~year_first & (parts[1].cast("int") > 12)
-        gap = F.regexp_extract(value, "[-/.]", 0)
 
-        def as_wide(number: Column, old: Column) -> Column:
-            return F.when(F.length(old) == 2, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string"))
+def permute_date(year: Column, day: Column, days: Column, key: str, tweak: Column, back: bool = False) -> Column:
+    """A keyed permutation of the dates whose day (month * 100 + day) is one of `days`, as a struct (y, d).
 
-        y, m, d = F.lpad(F.year(new).cast("string"), 4, "0"), F.month(new), F.day(new)
-        return (
-            F.when(year_first, F.concat(y, gap, as_wide(m, parts[1]), gap, as_wide(d, parts[2])))
-            .when(month_first, F.concat(as_wide(m, parts[0]), gap, as_wide(d, parts[1]), gap, y))
-            .otherwise(F.concat(as_wide(d, parts[0]), gap, as_wide(m, parts[1]), gap, y))
-        )
+    Rounds move the year among the years that have the day, and the day among the days that the year has.
+    """
+    state = F.struct(year.cast("long").alias("y"), day.cast("long").alias("d"))
+    steps = range(ROUNDS - 1, -1, -1) if back else range(ROUNDS)
+    sign = -1 if back else 1
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
+
+    def moved(rank: Column, size: Column, step: int, other: Column) -> Column:
+        by = _number(_stream(key, tweak, step, other.cast("string")), 1, 12)
+        return F.pmod(rank + sign * (by % size), size)
+
+    def turn(s: Column, step: int) -> Column:
+        y, d = s["y"], s["d"]
+        if step % 2 == 0:
+            leap = d == LEAP_DAY
+            rank = F.when(leap, div(y, 4) - div(y, 100) + div(y, 400)).otherwise(y) - 1
+            size = F.when(leap, F.lit(LEAP_YEARS)).otherwise(F.lit(YEARS)).cast("long")
+
+            def as_year(r: Column) -> Column:
+                nth = F.element_at(_longs(LEAPS), (r % len(LEAPS) + 1).cast("int"))
+                return F.when(leap, div(r, len(LEAPS)) * 400 + nth).otherwise(r + 1).cast("long")
+
+            return let(moved(rank, size, step, d), lambda r: F.struct(as_year(r).alias("y"), d.alias("d")))
+        missing = F.when((F.element_at(days, -1) == LEAP_DAY) & ~_is_leap(y), 1).otherwise(0)
+        new = moved(F.array_position(days, d) - 1, (F.size(days) - missing).cast("long"), step, y)
+        return let(new, lambda r: F.struct(y.alias("y"), F.element_at(days, (r + 1).cast("int")).alias("d")))
+
+    return _chain(state, turn, steps)
+
+
+def _longs(numbers: list[int]) -> Column:
+    """Numbers as one literal of the plan, which is folded into an array."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
+def _date(value: Column, key: str, back: bool) -> Column:
+    """A date of the same shape: the same order, marks and digits, and read the same way again."""
+    year_first, month_first, numbers, _ = _date_parts(value)
+    gap = F.regexp_extract(value, "[-/.]", 0)
+    read = F.struct(
+        year_first.alias("year_first"), month_first.alias("month_first"), gap.alias("gap"), numbers.alias("n"),
+        F.when(F.length(numbers[1]) == 1, 9).otherwise(12).alias("months"), F.when(month_first, 13).otherwise(1).alias("first"),
+        F.when(F.length(numbers[2]) == 1, 9).otherwise(31).alias("last"),
+    )
 
-    return let(days, write)
+    def change(r: Column) -> Column:
+        shape = F.concat_ws("-", *[r[c].cast("string") for c in ("months", "first", "last")])
+        return let(shape, lambda named: let(among(named), lambda days: permuted(r, named, days)))
+
+    def among(named: Column) -> Column:
+        days = F.lit(None).cast("array<bigint>")
+        for shape, listed in SHAPES.items():
+            days = F.when(named == "-".join(map(str, shape)), _longs(listed)).otherwise(days)
+        return days
+
+    def permuted(r: Column, named: Column, days: Column) -> Column:
+        day = r["n"][1].cast("long") * 100 + r["n"][2].cast("long")
+        new = permute_date(r["n"][0], day, days, key, F.concat(F.lit("date-"), named), back)
+        return let(new, lambda x: spell(r, x))
+
+    def spell(r: Column, new: Column) -> Column:
+        y = F.lpad(new["y"].cast("string"), 4, "0")
+        m = F.lpad(F.call_function("div", new["d"], F.lit(100).cast("long")).cast("string"), F.length(r["n"][1]), F.lit("0"))
+        d = F.lpad((new["d"] % 100).cast("string"), F.length(r["n"][2]), F.lit("0"))
+        ordered = F.when(r["year_first"], F.array(y, m, d)).when(r["month_first"], F.array(m, d, y)).otherwise(F.array(d, m, y))
+        return F.call_function("array_join", ordered, r["gap"])
+
+    return let(read, change)
 
 
 def kind_of(value: Column) -> Column:

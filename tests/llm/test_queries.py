@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from check import TABLES, rows_of
-from feedloom.llm import decontamination, jaccard_join, language_id, pii
+from feedloom.llm import decontamination, jaccard_join, language_id
 from feedloom.llm.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -179,4 +179,3 @@ def test_language_model_is_bounded(spark):
 def test_parameters():
     assert jaccard_join.choose_bands() == (20, 5)
     assert all(len(m) == 6 and m[-1] < decontamination.SPAN for m in decontamination.MASKS)
-    assert pii.CYCLE_LEFT * pii.CYCLE_RIGHT == pii.CYCLE
