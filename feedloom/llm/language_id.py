@@ -19,18 +19,23 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import text_batches
 
 TRAIN_DOCUMENTS = 20_000  # labelled documents the model is fitted on, by smallest hash of their id
-KNOWN_WORDS = 60_000  # words kept per language, most frequent first
-KNOWN_GRAMS = 20_000  # n-grams kept per language
+KNOWN_WORDS = 60_000  # words of the sample kept per language, most frequent first
+KNOWN_GRAMS = 20_000  # n-grams of the sample kept per language
 LONGEST = 5  # n-grams of a word with its borders marked: 5, 4, 3, 2 and 1 characters
 UNKNOWN = "und"
 CACHED_WORDS = 50_000  # scores of unseen words kept per Python worker
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no decimal digits
 
 
 def word_counts(text: str) -> Counter:
-    """Lower-case runs of letters of a text, with how often each occurs."""
-    return Counter(LETTERS.findall(text.lower()))
+    """Lower-case runs of letters (Unicode category L) of a text, with how often each occurs."""
+    found = Counter(LETTERS.findall(text.lower()))
+    for mixed in [w for w in found if not w.isalpha()]:
+        n = found.pop(mixed)
+        for word in "".join(c if c.isalpha() else " " for c in mixed).split():
+            found[word] += n
+    return found
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -39,7 +44,7 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Per-language log frequencies of the known words and n-grams; its size is bounded by the constants above."""
+    """Per-language log frequencies of the known words and n-grams; its size is bounded by the parameters of `fit`."""
 
     def __init__(self, rows: list[tuple[str, str, str, int]]):
         """rows: (lang, kind `w` or `g`, key, count)."""
@@ -128,11 +133,13 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["lang", "kind", "key", "n"]).astype({"n": "int64"})
 
 
-def fit(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model:
+def fit(
+    labelled: DataFrame, documents: int = TRAIN_DOCUMENTS, known_words: int = KNOWN_WORDS, known_grams: int = KNOWN_GRAMS
+) -> Model:
     """A model of at most `documents` rows of `labelled` (doc_id, text, lang); null texts and langs teach nothing.
 
-    Only the ids of the sample and the most frequent words and n-grams of each language reach the driver; both
-    numbers are bounded by the parameters.
+    Only the ids of the sample and its `known_words` most frequent words and `known_grams` n-grams of each language reach
+    the driver. Rarer ones are scored as unseen, whatever the size of the corpus.
     """
     text_batches(labelled.sparkSession)
     labelled = labelled.filter("text is not null and lang is not null and doc_id is not null")
@@ -143,7 +150,7 @@ def fit(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model:
     counts = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
     kept = counts.withColumn("_place", place).filter(
-        F.col("_place") <= F.when(F.col("kind") == "w", KNOWN_WORDS).otherwise(KNOWN_GRAMS)
+        F.col("_place") <= F.when(F.col("kind") == "w", known_words).otherwise(known_grams)
     )
     found = kept.select("lang", "kind", "key", "n").toArrow()  # columns: rows of Python objects take the driver several times more
     return Model(sorted(zip(*(found[c].to_pylist() for c in found.column_names), strict=True)))
