@@ -48,25 +48,22 @@ WITH d AS (
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t
   FROM benchmark
-), masks(m, p) AS (VALUES (0, [0, 1, 3, 6, 8, 9]), (1, [0, 2, 3, 4, 7, 9])),
-dp AS (SELECT doc_id, t, unnest(range(0, len(t) - 9)) AS i FROM d WHERE len(t) >= 10),
-bp AS (SELECT item_id, t, unnest(range(0, len(t) - 9)) AS i FROM b WHERE len(t) >= 10),
-ds AS (SELECT doc_id, i, m, list_aggregate([t[i + 1 + j] for j in p], 'string_agg', ' ') AS s FROM dp, masks),
-bs AS (SELECT item_id, i, m, list_aggregate([t[i + 1 + j] for j in p], 'string_agg', ' ') AS s FROM bp, masks),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (m, s)),
-laid AS (
-  SELECT h.doc_id, h.item_id, least(13, len(b.t)) AS w,
-    greatest(0, -shift) AS first, least(len(b.t), len(d.t) - shift) - least(13, len(b.t)) AS last,
-    b.t AS bt, d.t AS dt, shift
-  FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)
-), stretches AS (
-  SELECT doc_id, item_id, w, unnest(range(first, last + 1)) AS s, bt, dt, shift FROM laid WHERE last >= first
-), good AS (
-  SELECT DISTINCT doc_id, item_id FROM stretches
-  WHERE list_sum([CASE WHEN bt[j + 1] = dt[j + 1 + shift] THEN 1 ELSE 0 END for j in range(s, s + w)]) >= ceil(w * 0.8)
-), n AS (SELECT doc_id, count(*) AS n_items FROM good GROUP BY 1)
-SELECT d.doc_id, coalesce(n.n_items, 0) > 0 AS contaminated, coalesce(n.n_items, 0) AS n_items
-FROM d LEFT JOIN n USING (doc_id)
+), bl AS (SELECT item_id, len(t) AS n, least(13, len(t)) AS w, t FROM b WHERE len(t) > 0),
+dw AS (SELECT doc_id, len(t) AS n, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM d),
+bw AS (SELECT item_id, n, w, unnest(t) AS word, generate_subscripts(t, 1) AS j FROM bl),
+same AS (
+  SELECT doc_id, item_id, i - j AS shift, j, dw.n AS doc_n, bw.n AS item_n, w, CAST(ceil(w * 0.8) AS BIGINT) AS least_same
+  FROM dw JOIN bw USING (word)
+), laid AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift) AS total FROM same
+  WHERE least(item_n, doc_n - shift) - greatest(0, -shift) >= w
+), near AS (
+  SELECT doc_id, item_id, least_same,
+    count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS here
+  FROM laid WHERE total >= least_same
+), hits AS (SELECT DISTINCT doc_id, item_id FROM near WHERE here >= least_same)
+SELECT d.doc_id, count(h.item_id) > 0 AS contaminated, count(h.item_id) AS n_items
+FROM d LEFT JOIN hits h USING (doc_id) GROUP BY d.doc_id
 """
 
 ORACLE["op2_substring_dedup"] = r"""
