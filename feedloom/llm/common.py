@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from feedloom.session import new_folder, stage
 
-__all__ = ["SPACES", "WORD_GAP", "let", "new_folder", "read_table", "small_enough", "stage", "text_batches", "words"]
+__all__ = [
+    "SPACES", "WORD_GAP", "beside", "let", "new_folder", "read_table", "small_enough", "stage", "text_batches", "unused", "words",
+]
 
 SPACES = " \t\n\x0b\x0c\r"  # the characters x20 and x09 to x0D, the only ones that part words
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -48,3 +50,23 @@ def words(text: Column) -> Column:
 def small_enough(stored: DataFrame, rows: int) -> bool:
     """Whether a stored table has at most `rows` rows; reads no more than one row beyond that."""
     return stored.limit(rows + 1).count() <= rows
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def beside(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`work` on `docs`, whose own columns of these names are kept out of its way and given back."""
+    own = [c for c in docs.columns if c.lower() in names]
+    away = dict(zip(own, unused(docs, *[f"_llm_{c}" for c in own]), strict=True))
+    back = {new: old for old, new in away.items()}
+    return work(docs.withColumnsRenamed(away)).drop(*names).withColumnsRenamed(back).select(docs.columns)

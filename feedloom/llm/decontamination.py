@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import let, small_enough, stage
+from feedloom.llm.common import let, small_enough, stage, unused
 
 # The positions each mask looks at, and how many of the masks are needed for a stretch of so many tokens.
 MASKS = (
@@ -126,8 +126,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    found = found.withColumnsRenamed({"doc_id": "_doc", "_text_hash": "_hash"})
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    doc, text_hash = unused(docs, "_doc", "_hash")
+    found = found.withColumnsRenamed({"doc_id": doc, "_text_hash": text_hash})
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash))
     return docs.join(found, same, how)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stage, text_batches
+from feedloom.llm.common import stage, text_batches, unused
 from feedloom.llm.components import connected_components
 from feedloom.llm.substring_dedup import split_words, window_hashes, word_hashes
 
@@ -252,8 +252,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Texts without words are classes of their own; rows repeated with id and text stay once.
     """
-    found = join_similar(docs).withColumnsRenamed({"doc_id": "_doc", "_text_hash": "_hash"})
-    kept = stage(found.filter(F.col("_doc").eqNullSafe(F.col("class_id"))).select("_doc", "_hash").distinct(), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.xxhash64("text").eqNullSafe(F.col("_hash"))
+    doc, text_hash = unused(docs, "_doc", "_hash")
+    found = join_similar(docs).withColumnsRenamed({"doc_id": doc, "_text_hash": text_hash})
+    kept = stage(found.filter(F.col(doc).eqNullSafe(F.col("class_id"))).select(doc, text_hash).distinct(), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(text_hash))
     joined = docs.join(kept, same)
-    return joined.dropDuplicates(["_doc", "_hash"]).drop("_doc", "_hash")
+    return joined.dropDuplicates([doc, text_hash]).drop(doc, text_hash)
