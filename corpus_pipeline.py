@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import decontamination, jaccard_join, language_id, pii, piece_encoding
-from feedloom.llm.common import new_folder, read_table
+from feedloom.llm.common import beside, new_folder, read_table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -15,7 +15,11 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; `lang` stays as it is. Learnt from the rows that have a language."""
     model = language_id.fit(docs)
-    return language_id.identify(docs, model).filter(F.col("lang_pred") != language_id.UNKNOWN).drop("lang_pred", "score")
+
+    def told(rows: DataFrame) -> DataFrame:
+        return language_id.identify(rows, model).filter(F.col("lang_pred") != language_id.UNKNOWN)
+
+    return beside(docs, ("lang_pred", "score"), told)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +34,12 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by pseudonyms; `n_chars` counts the new text."""
-    replaced = pii.replace_pii(docs)
-    changed = F.when(F.col("n_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return replaced.withColumn("n_chars", changed).drop("n_pii")
+
+    def replaced(rows: DataFrame) -> DataFrame:
+        changed = F.when(F.col("n_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        return pii.replace_pii(rows).withColumn("n_chars", changed)
+
+    return beside(docs, ("n_pii",), replaced)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
