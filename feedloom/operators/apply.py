@@ -40,11 +40,11 @@ def batch_rows(valid: DataFrame, batch_size: int | Column = BATCH_SIZE) -> DataF
     return placed.withColumn("batch_number", number).drop("_place")
 
 
-def with_batch_size(valid: DataFrame, imports: DataFrame) -> DataFrame:
+def with_batch_size(valid: DataFrame, imports: DataFrame, default: int = BATCH_SIZE) -> DataFrame:
     """Add each import's own `batch_size`; the default where it names none."""
     sizes = imports.select("import_id", "batch_size")
     joined = spread_join(valid, sizes, "import_id", F.col("row_number"), "left")
-    return joined.withColumn("batch_size", F.coalesce("batch_size", F.lit(BATCH_SIZE).cast("bigint")))
+    return joined.withColumn("batch_size", F.coalesce("batch_size", F.lit(default).cast("bigint")))
 
 
 def batch_plan(batched: DataFrame) -> DataFrame:

@@ -131,3 +131,33 @@ def spread_join(
     copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     salted = rows.withColumn("_salt", F.pmod(salt, F.lit(SPREAD)).cast("int"))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+HEAVY_KEYS = 64  # a key that one task could not share out holds more than one in so many rows
+
+
+def heavy_keys(rows: DataFrame, key: Column, share: int = HEAVY_KEYS) -> list[int]:
+    """Hashes of the keys that hold more than one in `share` of all rows, and perhaps of some that hold less.
+
+    A sketch of frequent items, merged over the partitions, finds them in one pass; there are at most `share` of them.
+    """
+    hashed = rows.select(F.xxhash64(key).alias("_key")).filter(key.isNotNull())
+    top = F.call_function("approx_top_k", F.col("_key"), F.lit(share), F.lit(16 * share))
+    found = hashed.agg(top.alias("top"), F.count("*").alias("n")).first()
+    return [item["item"] for item in found["top"] or [] if item["count"] * share > found["n"]]
+
+
+def heavy_join(rows: DataFrame, dimension: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join rows to a dimension with one row per key: rows of heavy keys stay where they are, the rest is shuffled.
+
+    The few dimension rows of heavy keys are sent to every task, so no task gets more than a share of the rows that the
+    sketch allows. `how` is `left` or `inner`; `rows` is read twice: pass a stored one. Null keys match nothing
+    and stay where they are too.
+    """
+    if is_small(dimension):
+        return rows.join(F.broadcast(dimension), on, how)
+    heavy = heavy_keys(rows, F.col(on))
+    hot = lambda df: F.xxhash64(df[on]).isin(*heavy) if heavy else F.lit(False)
+    apart = F.coalesce(hot(rows), F.lit(False)) | rows[on].isNull()
+    few = rows.filter(apart).join(F.broadcast(dimension.filter(hot(dimension))), on, how)
+    return few.unionByName(rows.filter(~apart).join(dimension, on, how))

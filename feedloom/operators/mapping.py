@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.hashing import header_signature
 from feedloom.functions.text import REPLACEMENT, js_trim, nfc
-from feedloom.operators.groups import spread_join
+from feedloom.operators.groups import heavy_join, spread_join
 from feedloom.rules import FIELDS, REQUIRED_FIELDS, Rules
+from feedloom.session import stage
 
 
 def read_headers(cells: Column) -> Column:
@@ -108,12 +109,15 @@ def map_columns(records: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def match_templates(imports: DataFrame, templates: DataFrame, rules: Rules) -> DataFrame:
-    """The most recently used template with the import's header signature, if there is one."""
+    """The most recently used template with the import's header signature, if there is one.
+
+    Feeds of one kind share a signature, so a signature may be that of nearly all imports.
+    """
     signed = imports.withColumn("header_signature", header_signature(F.col("headers"), rules))
     newest = templates.groupBy("header_signature").agg(
         F.max(F.struct("last_used_at", F.col("name").alias("template_name"), "mapping_json")).alias("t")
     )
-    return signed.join(newest, "header_signature", "left").select(
+    return heavy_join(signed, stage(newest, "templates"), "header_signature").select(
         "import_id", "header_signature", "t.template_name", "t.mapping_json"
     )
 

@@ -277,28 +277,35 @@ def has_mapping(imports: DataFrame) -> DataFrame:
 
 
 def import_outcomes(
-    imports: DataFrame, totals: DataFrame, counts: DataFrame, capped: DataFrame | None = None
+    imports: DataFrame, totals: DataFrame, counts: DataFrame | None, capped: DataFrame | None = None, broken: DataFrame | None = None
 ) -> DataFrame:
     """One row for every import: how its validation ended, why, and what it found.
 
-    An import without a mapping, or over the cap it was given, is `failed` with its reason and without
-    numbers; any other is `validated`, with zeros where it has no rows.
+    An import without a mapping, over the cap it was given, or with a file that has changed (`broken`) is `failed` with
+    its reason and without numbers; any other is `validated`, with zeros where it has no rows. Without a dry run
+    (`counts`) its numbers are null.
     """
-    unmapped = F.coalesce(F.size("mapping"), F.lit(0)) <= 0
-    ended = imports.select("import_id", unmapped.alias("_unmapped"))
+    nothing = F.lit(None).cast("string")
+    ended = imports.select("import_id", (F.coalesce(F.size("mapping"), F.lit(0)) <= 0).alias("_unmapped"))
     if capped is not None:
         over = capped.filter("state = 'failed'").select("import_id", F.col("pause_reason").alias("_over"))
         ended = ended.join(over, "import_id", "left")
-    else:
-        ended = ended.withColumn("_over", F.lit(None).cast("string"))
-    ended = ended.withColumn("reason", F.when(F.col("_unmapped"), F.lit("no_mapping")).otherwise(F.col("_over")))
-    joined = ended.join(totals, "import_id", "left").join(counts, "import_id", "left")
-    numbers = ("total_rows", "error_rows", "warning_rows", "would_create", "would_update", "would_skip")
+    if broken is not None:
+        gone = broken.select("import_id", F.col("pause_reason").alias("_gone")).distinct()
+        ended = ended.join(gone, "import_id", "left")
+    reasons = [F.col("_gone") if broken is not None else nothing, F.when(F.col("_unmapped"), F.lit("no_mapping"))]
+    ended = ended.withColumn("reason", F.coalesce(*reasons, F.col("_over") if capped is not None else nothing))
+    joined = ended.join(totals, "import_id", "left")
+    if counts is not None:
+        joined = joined.join(counts, "import_id", "left")
+    number = lambda c: F.when(F.col("reason").isNull(), F.coalesce(c, F.lit(0).cast("bigint"))).alias(c)
+    dry = ("would_create", "would_update", "would_skip")
     return joined.select(
         "import_id",
         F.when(F.col("reason").isNull(), F.lit("validated")).otherwise(F.lit("failed")).alias("state"),
         "reason",
-        *[F.when(F.col("reason").isNull(), F.coalesce(c, F.lit(0).cast("bigint"))).alias(c) for c in numbers],
+        *[number(c) for c in ("total_rows", "error_rows", "warning_rows")],
+        *[F.lit(None).cast("bigint").alias(c) if counts is None else number(c) for c in dry],
     )
 
 

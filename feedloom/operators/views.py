@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.operators.groups import heavy_join
 from feedloom.rules import CONTRACT, DELIMITERS, ENCODINGS, Rules
+from feedloom.session import stage
 
 HISTORY_ROWS = 50
 
@@ -46,7 +48,7 @@ def products_with_import(products: DataFrame, imports: DataFrame) -> DataFrame:
     links = imports.select(
         F.col("import_id").alias("last_import_id"), F.col("original_filename").alias("last_import_file")
     )
-    return products.join(links, "last_import_id", "left")
+    return heavy_join(products, stage(links, "links"), "last_import_id")  # one import may have written most products
 
 
 def unknown_catalogs(imports: DataFrame, catalogs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from feedloom.operators.validate import (
 from feedloom.rules import BATCH_SIZE, Rules
 from feedloom.session import stage
 from feedloom.sources import store
-from feedloom.sources.files import file_integrity
+from feedloom.sources.files import changed_files, file_integrity
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class Validation:
     validated: DataFrame
     report: DataFrame
     totals: DataFrame
-    counts: DataFrame
+    counts: DataFrame | None
     outcomes: DataFrame
 
 
@@ -60,26 +60,32 @@ def data_records(records: DataFrame) -> DataFrame:
 
 
 def validate_feeds(
-    records: DataFrame, imports: DataFrame, products: DataFrame, rules: Rules, cap: int | None = None
+    records: DataFrame, imports: DataFrame, products: DataFrame | None, rules: Rules, cap: int | None = None
 ) -> Validation:
     """Parse every record once into a staged table; report, totals, dry run and outcomes read it from there.
 
-    Every import gets an outcome, also one that has no mapping or more rows than a given cap.
+    Every import gets an outcome, also one that has no mapping or more rows than a given cap. Where `imports` has a
+    `file_sha256`, an import whose file is gone or no longer has that hash fails, and none of its rows goes on. Without
+    `products` there is no dry run, and its numbers are null.
     """
     data = data_records(records)
+    broken = None
+    if "file_sha256" in imports.columns:
+        broken = stage(changed_files(imports), "broken")
+        data = spread_join(data, broken.select("import_id").distinct(), "import_id", F.col("row_number"), "left_anti")
     capped = stage(row_cap(data, rules, cap), "capped") if cap is not None else None
     kept = data_row_numbers(within_cap(data, rules, cap), rules)
     validated = stage(validate_rows(map_columns(kept, has_mapping(imports)), rules), "validated")
-    counts = dry_run_counts(dry_run(last_wins(valid_rows(validated)), products))
+    counts = None if products is None else dry_run_counts(dry_run(last_wins(valid_rows(validated)), products))
     totals = validation_totals(validated)
-    return Validation(
-        validated, row_report(validated, rules), totals, counts, import_outcomes(imports, totals, counts, capped)
-    )
+    outcomes = import_outcomes(imports, totals, counts, capped, broken)
+    return Validation(validated, row_report(validated, rules), totals, counts, outcomes)
 
 
-def intact(validated: DataFrame, recorded: DataFrame, listing: DataFrame) -> DataFrame:
-    """Rows of the imports whose file is still there with the recorded hash; check this before a load."""
-    broken = stage(file_integrity(recorded, listing).select("import_id").distinct(), "broken")
+def intact(validated: DataFrame, recorded: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """Rows of the imports whose file is still there with the recorded hash, by a listing or by a look at the files."""
+    found = changed_files(recorded) if listing is None else file_integrity(recorded, listing)
+    broken = stage(found.select("import_id").distinct(), "broken")
     return spread_join(validated, broken, "import_id", F.col("row_number"), "left_anti")
 
 
@@ -91,23 +97,27 @@ def load_feeds(
     batch_size: int = BATCH_SIZE,
     applied_at: Column | None = None,
     imports: DataFrame | None = None,
+    recorded: DataFrame | None = None,
+    bucket_rows: int = store.BUCKET_ROWS,
 ) -> int:
     """Apply the valid rows of `validated` that no batch of the ledger covers, and publish the result.
 
     Batches are told by the rows they cover, so a load may go on with another size: `imports` (import_id,
     batch_size) gives each import its own, else `batch_size` holds for all. Loading the same rows again
-    publishes nothing new; a load that was cut off before its commit is repeated from the start. Returns
-    the newest version.
+    publishes nothing new; a load that was cut off before its commit is repeated from the start. Only the buckets
+    of products that the rows touch are read and written. With `recorded` (import_id, path, file_sha256), imports whose
+    file has changed since are left out. Returns the newest version.
     """
     last = store.last_version(spark, root)
-    valid = valid_rows(validated)
-    sized = valid if imports is None else with_batch_size(valid, imports)
+    valid = valid_rows(validated if recorded is None else intact(validated, recorded))
+    sized = valid if imports is None else with_batch_size(valid, imports, batch_size)
     size = batch_size if imports is None else F.col("batch_size")
     todo = stage(resume_rows(sized, store.read_ledger(spark, root), size).drop("batch_size"), "open-rows")
-    catalogs = [r.catalog_id for r in todo.select("catalog_id").distinct().collect()]  # names of catalogs only
-    if not catalogs:
+    incoming = todo.groupBy("catalog_id").agg(F.approx_count_distinct("sku").alias("n")).collect()  # a row per catalog
+    if not incoming:
         return last
-    touched = store.read_products(spark, root, catalogs)
+    laid_out = store.layout(spark, root, {r.catalog_id: r.n for r in incoming}, bucket_rows)
+    touched = _touched(spark, root, todo, laid_out)
     offsets = block_offsets(todo)
     actions = stage(apply_actions(todo, touched, offsets), "actions")
     when = applied_at if applied_at is not None else F.current_timestamp()
@@ -117,5 +127,17 @@ def load_feeds(
         merged_catalog(actions, touched, when),
         changes_json(field_changes(actions, touched, offsets)),
         batch_ledger(actions),
+        laid_out,
     )
     return last + 1
+
+
+def _touched(spark: SparkSession, root: str, todo: DataFrame, laid_out: dict[int, tuple[int, bool]]) -> DataFrame:
+    """Stored products of the buckets that get rows, and all of a catalog that is laid out anew."""
+    anew = [c for c, (_, new) in laid_out.items() if new]
+    rest = {c: x for c, x in laid_out.items() if c not in anew}
+    whole = store.read_products(spark, root, anew)
+    if not rest:
+        return whole
+    hit = store.with_bucket(todo, rest).select("catalog_id", "bucket").distinct().collect()  # names of folders
+    return whole.unionByName(store.read_products(spark, root, list(rest), {(r.catalog_id, r.bucket) for r in hit}))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from feedloom.functions.csvtext import escape_cell
 from feedloom.rules import CONTRACT, Rules
 
-FILES_PER_IMPORT = 8  # files the findings of one import are spread over
-
 _CONTRACT_NAMES = {"column_name": "column"}
 
 
@@ -50,7 +48,7 @@ def write_findings(report: DataFrame, path: str, rules: Rules, imports: DataFram
     marks = imports.select("import_id").distinct().withColumn("phase", F.lit("validate"))
     (
         report.unionByName(marks, allowMissingColumns=True)
-        .repartition(*parts, F.pmod(F.xxhash64("row_number"), F.lit(FILES_PER_IMPORT)))
+        .repartitionByRange(*parts, "row_number")  # an import with many findings takes many tasks
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*parts)

@@ -12,11 +12,12 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from feedloom.operators import detect, mapping, validate
+from feedloom.operators import detect, groups, mapping, validate, views
+from feedloom.operators.groups import block_of
 from feedloom.plans.load import data_records, intact, load_feeds, validate_feeds
 from feedloom.rules import CODED, CONTRACT, FIELDS
-from feedloom.sources import feed, files, ranges, report, store
-from feedloom.streaming.jobs import stream_loads
+from feedloom.sources import feed, files, pages, ranges, report, search, store
+from feedloom.streaming.jobs import stream_loads, stream_reports
 
 TEXT = "sku;name;price\nA-1;Ançi \U0001f600;9,99\n\n\"B;2\";5\" bolt;1,50\nC;\"say \"\"x\"\"\";3\nshort;1"
 FILES = {
@@ -351,7 +352,116 @@ def test_only_committed_folders_are_read(spark, tmp_path):
         load_feeds(spark, root, as_validated(spark, numbered(spark, n + 1, range(1, 4), 100 + n)), CONTRACT)
     scanned = {f.split("/products/")[1].rsplit("/", 1)[0] for f in store.read_products(spark, root).inputFiles()}
     newest = [r.load for r in spark.read.json(f"{root}/commits").orderBy("version").collect()][-1]
-    assert scanned == {f"load={newest}/catalog_id=1"}
+    assert scanned == {f"load={newest}/catalog_id=1/bucket=0"}
+
+
+def test_a_load_writes_the_buckets_it_touches(spark, tmp_path):
+    root = str(tmp_path / "store")
+    parts = lambda: {p.relative_to(root).parts[1] for p in (tmp_path / "store" / "products").glob("*/*/bucket=*")}
+    first = as_validated(spark, numbered(spark, 1, range(1, 65), 100))
+    load_feeds(spark, root, first, CONTRACT, bucket_rows=4)
+    before = {(r.bucket, r.n_rows) for r in store._newest(spark, root).collect()}
+    assert len(before) > 8 and sum(n for _, n in before) == 64
+    old = parts()
+    load_feeds(spark, root, as_validated(spark, numbered(spark, 2, [7], 200)), CONTRACT, bucket_rows=4)
+    (load,) = parts() - old
+    written = list((tmp_path / "store" / "products" / load).glob("*/bucket=*"))
+    assert len(written) == 1  # of all the buckets
+    prices = {r.sku: r.price_cents for r in store.read_products(spark, root).collect()}
+    assert prices == {f"S{n}": 200 if n == 7 else 100 for n in range(1, 65)}
+    # A catalog that outgrows its buckets is laid out anew, and nothing is lost or doubled.
+    load_feeds(spark, root, as_validated(spark, numbered(spark, 3, range(60, 400), 300)), CONTRACT, bucket_rows=4)
+    prices = {r.sku: r.price_cents for r in store.read_products(spark, root).collect()}
+    assert prices == {f"S{n}": 300 if n >= 60 else 200 if n == 7 else 100 for n in range(1, 400)}
+    assert store.read_products(spark, root).count() == 399
+    assert [tuple(r) for r in store.product_counts(spark, root).collect()] == [(1, 399)]
+
+
+def test_a_changed_file_fails_its_import_inside_the_job(spark, tmp_path):
+    drop, root = tmp_path / "drop", str(tmp_path / "store")
+    drop.mkdir()
+    imports, records = load_inputs(spark, drop, CSV)
+    hashed = imports.join(files.list_feeds(spark, str(drop)).selectExpr("path", "sha256 file_sha256"), "path")
+    recorded = spark.createDataFrame(hashed.collect(), hashed.schema)
+    done = validate_feeds(records, recorded, None, CONTRACT)
+    done.validated.count()
+    (row,) = done.outcomes.collect()
+    assert tuple(row) == (1, "validated", None, 7, 4, 1, None, None, None)  # no catalog, no dry run
+    (drop / "f.csv").write_text("SKU,Name,Price,Stock\nZ,Other,1,1\n")
+    (row,) = validate_feeds(records, recorded, None, CONTRACT).outcomes.collect()
+    assert (row.state, row.reason) == ("failed", "file_missing")
+    load_feeds(spark, root, done.validated, CONTRACT, recorded=recorded)
+    assert store.read_products(spark, root).count() == 0
+    (drop / "f.csv").unlink()
+    assert [r.import_id for r in files.changed_files(recorded).collect()] == [1]
+
+
+def test_streams_take_each_import_s_batch_size(spark, tmp_path):
+    drop, roots = tmp_path / "drop", [str(tmp_path / r) for r in ("batch", "stream")]
+    drop.mkdir()
+    imports, _ = load_inputs(spark, drop, CSV)
+    (drop / "g.csv").write_text("\n".join(CSV) + "\n")
+    listed = files.listing(spark, str(drop)).select("path", F.when(F.col("path").endswith("g.csv"), 2).otherwise(1).cast("bigint").alias("import_id"))
+    sizes = F.when(F.col("import_id") == 2, 1).cast("bigint").alias("batch_size")
+    both = listed.join(imports.drop("path", "import_id").limit(1), how="cross").select("*", sizes)
+    both = spark.createDataFrame(both.collect(), both.schema)
+    done = validate_feeds(feed.read_feed(spark, str(drop), both), both, None, CONTRACT)
+    load_feeds(spark, roots[0], done.validated, CONTRACT, batch_size=2, imports=both)
+    outcomes = str(tmp_path / "outcomes")
+    stream_loads(spark, str(drop), both, CONTRACT, roots[1], str(tmp_path / "state"), 2, outcomes=outcomes).awaitTermination()
+    ledgers = [sorted(map(tuple, store.read_ledger(spark, r).collect())) for r in roots]
+    assert ledgers[0] == ledgers[1] and [r[1] for r in ledgers[0] if r[0] == 2] == [1, 2, 3]
+    assert {r.import_id: r.would_create for r in spark.read.parquet(outcomes).collect()} == {1: 2, 2: 2}
+    reports = str(tmp_path / "seen")
+    stream_reports(spark, str(drop), both, CONTRACT, str(tmp_path / "out"), str(tmp_path / "s2"), outcomes=reports).awaitTermination()
+    assert {(r.import_id, r.error_rows, r.would_create) for r in spark.read.parquet(reports).collect()} == {(1, 4, None), (2, 4, None)}
+
+
+def test_pages_of_a_long_list(spark, tmp_path):
+    rows = [(i, n, "abc"[n % 3] if i == 1 else "a") for i in (1, 2) for n in range(1, 2001)]
+    df = spark.createDataFrame(rows, "import_id bigint, row_number bigint, code string")
+    path = str(tmp_path / "pages")
+    pages.write_pages(df, path, "import_id", block_of("row_number", 300), ("row_number",), ("code",), chunk_rows=50)
+    for code, asked in ((None, ((2, 20), (80, 25), (9999, 20))), ("b", ((7, 60), (34, 20))), ("none", ((1, 20),))):
+        own = [n for i, n, c in rows if i == 1 and code in (None, c)]
+        for page, size in asked:
+            shown = pages.read_page(spark, path, "import_id", 1, page, size, code=code)
+            found = shown.orderBy("row_number").collect()
+            assert [r.row_number for r in found] == own[(page - 1) * size : page * size]
+            assert {r.total for r in found} <= {len(own)}
+    late = pages.read_page(spark, path, "import_id", 1, 80, 25)
+    scanned = late._jdf.queryExecution().executedPlan().toString()
+    assert "chunk" in scanned and "PartitionFilters" in scanned
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(c, f"P-{n}", "".join(rng.choice("abĀé r") for _ in range(rng.randrange(9)))) for c in (1, 2) for n in range(300)] + [(1, "x", None)]
+    products = spark.createDataFrame(rows, "catalog_id bigint, sku string, name string").withColumn("price_cents", F.lit(1))
+    path = str(tmp_path / "grams")
+    search.write_index(products, path)
+    for text, catalog in (("P-1", None), ("AB\u0101", 2), ("ra a", None), ("zzz", None), ("ab", 2)):
+        found, scan = (
+            sorted(map(str, df.collect()))
+            for df in (search.search_indexed(products, path, text, catalog), views.search_products(products, text, catalog))
+        )
+        assert found == scan, text
+
+
+def test_heavy_keys_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(groups, "BROADCAST_ROWS", 10)
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 1000 == 1, None).otherwise(F.col("id")).cast("bigint").alias("k"), "id"
+    )
+    dimension = spark.range(0, 60_000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(
+        spark.createDataFrame([(7, 70)], "k bigint, v bigint")
+    )
+    heavy = groups.heavy_keys(rows, F.col("k"))
+    assert heavy == [spark.range(1).select(F.xxhash64(F.lit(7).cast("bigint"))).first()[0]]
+    for how in ("left", "inner"):
+        found = groups.heavy_join(rows, dimension, "k", how)
+        assert sorted(map(str, found.collect())) == sorted(map(str, rows.join(dimension, "k", how).collect()))
+    assert groups.heavy_keys(rows.limit(0), F.col("k")) == []
 
 
 def test_row_cap(spark):

@@ -729,5 +729,16 @@ Q["load_resume"] = """
     count(*) FILTER (seen = row_hash) AS skipped_count
   FROM part_batches p GROUP BY ALL"""
 
+Q["report_page_stored"] = Q["report_page"]
+Q["change_page_stored"] = Q["change_page"]
+Q["product_search_indexed"] = Q["product_search"]
+CTES["writes"] = """
+  SELECT * FROM (SELECT *, lag(row_hash) OVER (PARTITION BY catalog_id, sku ORDER BY import_id, row_number) AS seen FROM feed_valid)
+  WHERE seen IS NULL OR seen <> row_hash"""
+Q["store_buckets"] = """
+  SELECT catalog_id, sku, row_hash, import_id AS last_import_id FROM writes
+  QUALIFY row_number() OVER (PARTITION BY catalog_id, sku ORDER BY import_id DESC, row_number DESC) = 1"""
+Q["store_counts"] = "SELECT catalog_id, count(DISTINCT sku) AS product_count FROM feed_valid GROUP BY ALL"
+
 del CTES["unspaced"]
 ORACLE = {name: compose(sql) for name, sql in ORACLE.items()}

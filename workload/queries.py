@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from feedloom.functions import csvtext, encoding, hashing, numbers, text, urls
 from feedloom.operators import apply as load
 from feedloom.operators import detect, diff, mapping, validate, views
+from feedloom.operators.groups import BLOCK_ROWS, block_of
 from feedloom.plans.load import data_records, intact, load_feeds, validate_feeds
 from feedloom.rules import CODED, CONTRACT, FIELDS, OPTIONAL_FIELDS
 from feedloom.session import new_folder, stage
-from feedloom.sources import feed, files, report, store
+from feedloom.sources import feed, files, pages, report, search, store
 from feedloom.streaming.jobs import stream_loads, stream_reports
 from workload.derive import APPLIED_AT, BATCH, FILES_PER_IMPORT, HEADERS, Tables
 
@@ -486,6 +487,15 @@ def report_page(t):
     return validate.page_of_report(found, CONTRACT, page=2, per_page=20, severity="error")
 
 
+@query
+def report_page_stored(t):
+    """The same page out of a stored list: looked up in its counts."""
+    path, order = new_folder(t.spark, "pages"), ("row_number", "code", "column_name", "phase", "severity", "message")
+    rows = validate.row_report(t.staged, CONTRACT)
+    pages.write_pages(rows, path, "import_id", block_of("row_number", BLOCK_ROWS), order, ("severity", "code"))
+    return pages.read_page(t.spark, path, "import_id", 1, page=2, per_page=20, severity="error")
+
+
 # --- joins and aggregates --------------------------------------------------------------------
 
 
@@ -586,6 +596,22 @@ def change_page(t):
     return views.page_of_changes(found, CONTRACT, page=2, per_page=20, action="update")
 
 
+@query
+def change_page_stored(t):
+    path, block = new_folder(t.spark, "pages"), block_of("row_number", BLOCK_ROWS)
+    rows = load.changes_json(load.field_changes(t.actions, t.staged_products))
+    pages.write_pages(rows, path, "import_id", block, ("row_number",), ("action",))
+    return pages.read_page(t.spark, path, "import_id", 2, page=2, per_page=20, action="update")
+
+
+@query
+def product_search_indexed(t):
+    path = new_folder(t.spark, "trigrams")
+    search.write_index(t.staged_products, path)
+    found = search.search_indexed(t.staged_products, path, "RING", catalog_id=2)
+    return found.select("catalog_id", "sku", "name", "price_cents", "stock", "last_import_id", "total")
+
+
 @query
 def product_search(t):
     found = views.search_products(t.products, query="RING", catalog_id=2, page=1, per_page=50)
@@ -734,3 +760,22 @@ def load_resume(t):
     for sizes in (second, first):
         load_feeds(t.spark, root, t.staged, CONTRACT, applied_at=at, imports=sizes)
     return store.read_ledger(t.spark, root)
+
+
+def _bucketed(t) -> str:
+    """Loads of some imports each, into buckets so small that catalogs are laid out anew as they grow."""
+    root, at = new_folder(t.spark, "store"), lit(APPLIED_AT).cast("timestamp")
+    for low, high in ((0, 2), (2, 5), (5, None)):
+        rows = t.staged.filter(col("import_id") > low)
+        load_feeds(t.spark, root, rows if high is None else rows.filter(col("import_id") <= high), CONTRACT, applied_at=at, bucket_rows=20)
+    return root
+
+
+@query
+def store_buckets(t):
+    return store.read_products(t.spark, _bucketed(t)).select("catalog_id", "sku", "row_hash", "last_import_id")
+
+
+@query
+def store_counts(t):
+    return store.product_counts(t.spark, _bucketed(t))
