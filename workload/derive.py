@@ -23,7 +23,8 @@ from feedloom.session import configure, new_folder, stage
 BATCH = 100
 ORDER_BLOCK = 4096  # order keys per numbering block
 FILE_ROWS = 100_000  # rows per written feed file
-FILES_PER_IMPORT = 1000
+FILES_PER_IMPORT = 1_000_000_000
+ENCODINGS = {"utf-8": "UTF-8", "windows-1252": "ISO-8859-1", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}  # by import
 STORED_AT = "2026-01-01 00:00:00"
 APPLIED_AT = "2026-02-01 00:00:00"
 HEADERS = ("SKU", "Title", "Price", "Qty", "Group", "Text")
@@ -324,11 +325,36 @@ class Tables:
         """Write the feeds as CSV files; returns their folder and one row per file.
 
         A file holds at most FILE_ROWS rows of one import, so no task ever writes more. Every seventh
-        import has line breaks inside quoted cells, which sends its files down the streaming path.
+        import has line breaks inside quoted cells, so its files are read by ranges.
         """
         from feedloom.sources.files import list_feeds
 
         folder = new_folder(self.spark, "feeds")
+        self._feed_lines().write.partitionBy("file_id").text(folder)
+        files = list_feeds(self.spark, folder)
+        named = files.withColumn("import_id", F.regexp_extract("path", "file_id=([0-9]+)", 1).cast("bigint"))
+        return folder, named.withColumn("encoding", F.lit("utf-8")).withColumn("delimiter", F.lit(","))
+
+    def encoded_files(self) -> tuple[str, DataFrame]:
+        """The same files, import by import in one of four encodings."""
+        from feedloom.sources.files import listing
+
+        folder = new_folder(self.spark, "encoded")
+        own = block_of("file_id", FILES_PER_IMPORT) % len(ENCODINGS)
+        # One row for each line of text, so that the writer, told to quote nothing, has nothing to quote.
+        lines = self._feed_lines().select("file_id", F.posexplode(F.split("value", "\n")).alias("_n", "value")).drop("_n")
+        for n, (name, charset) in enumerate(ENCODINGS.items()):
+            plain = {"encoding": charset, "quote": "", "sep": "\u001e", "emptyValue": "", "escapeQuotes": "false"}
+            kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+            lines.filter(own == n).write.options(**plain, **kept).partitionBy("file_id").csv(f"{folder}/encoding={name}")
+        named = listing(self.spark, folder).select(
+            "path", F.regexp_extract("path", "file_id=([0-9]+)", 1).cast("bigint").alias("import_id"),
+            F.regexp_extract("path", "encoding=([^/]+)", 1).alias("encoding"), F.lit(",").alias("delimiter"),
+        )
+        return folder, named
+
+    def _feed_lines(self) -> DataFrame:
+        """(file_id, value) in files of FILE_ROWS rows, each in its order and behind its header."""
         file_id = F.col("import_id") * FILES_PER_IMPORT + block_of(F.col("n") - 1, FILE_ROWS)
         names = ("sku", "name", "price", "stock", "category", "description", "image")
         broken = (F.col("import_id") % 7 == 0) & (F.col("n") % 53 == 0)
@@ -343,14 +369,5 @@ class Tables:
         headers = rows.groupBy("file_id").agg(F.lit(0).cast("bigint").alias("at")).select(
             "file_id", "at", F.lit(",".join((*HEADERS, "Image"))).alias("value")
         )
-        (
-            rows.unionByName(headers)
-            .repartition("file_id")
-            .sortWithinPartitions("file_id", "at")
-            .select("file_id", "value")
-            .write.partitionBy("file_id")
-            .text(folder)
-        )
-        files = list_feeds(self.spark, folder)
-        named = files.withColumn("import_id", F.regexp_extract("path", "file_id=([0-9]+)", 1).cast("bigint"))
-        return folder, named.withColumn("encoding", F.lit("utf-8")).withColumn("delimiter", F.lit(","))
+        ordered = rows.unionByName(headers).repartition("file_id").sortWithinPartitions("file_id", "at")
+        return ordered.select("file_id", "value")

@@ -467,6 +467,12 @@ Q["feed_scan"] = f"""
   SELECT {_file} AS file_id, (n - 1) % {FILE_ROWS} + 2 AS row_number, CAST(n_cells AS BIGINT) AS n_cells,
     {record_sql(_broken)} AS record FROM raw
   UNION ALL SELECT DISTINCT {_file}, 1, 7, array_to_string(['SKU','Title','Price','Qty','Group','Text','Image'], {MARK}) FROM raw"""
+_as_written = f"""CASE WHEN ({_file}) // {FILES_PER_IMPORT} % 4 = 1
+    THEN translate({{0}}, chr(65533) || chr(769) || chr(8364), '???') ELSE {{0}} END"""
+Q["feed_scan_encodings"] = f"""
+  SELECT {_file} AS file_id, (n - 1) % {FILE_ROWS} + 2 AS row_number, CAST(n_cells AS BIGINT) AS n_cells,
+    {_as_written.format("(" + record_sql(_broken) + ")")} AS record FROM raw
+  UNION ALL SELECT DISTINCT {_file}, 1, 7, array_to_string(['SKU','Title','Price','Qty','Group','Text','Image'], {MARK}) FROM raw"""
 Q["decode_lenient"] = """
   SELECT doc_id, encoding, length(text) AS n_chars, sha256(text) AS text_sha256 FROM decoded"""
 Q["blank_filter"] = "SELECT import_id, row_number, CAST(n_cells AS BIGINT) AS n_cells FROM raw WHERE n % 211 <> 0"
@@ -495,6 +501,12 @@ Q["feed_listing"] = f"""
     SELECT {_file} AS import_id, 'SKU,Title,Price,Qty,Group,Text,Image' || chr(10)
       || string_agg({feed_line_sql(_broken)} || chr(10), '' ORDER BY n) AS content FROM raw GROUP BY {_file})"""
 
+Q["feed_admission_files"] = f"""
+  SELECT import_id, size, CASE WHEN size > 50000 THEN 'file_too_large' END AS code FROM ({Q["feed_listing"]})"""
+Q["feed_preview_files"] = f"""
+  SELECT file_id AS import_id, row_number, record FROM ({Q["feed_scan"]}) WHERE row_number <= 21
+    AND trim(replace(record, {MARK}, '')) <> ''"""
+
 
 def escaped(c: str, always: bool) -> str:
     quoted = "'\"' || replace({0}, '\"', '\"\"') || '\"'"

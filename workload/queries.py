@@ -56,6 +56,33 @@ def feed_scan(t):
     )
 
 
+@query
+def feed_scan_encodings(t):
+    """Files in four encodings, those read by ranges in many of them."""
+    folder, found = t.encoded_files()
+    records = feed.read_feed(t.spark, folder, found, range_bytes=1 << 16)
+    return records.select(
+        col("import_id").alias("file_id"), "row_number", F.size("cells").cast("bigint").alias("n_cells"),
+        F.array_join("cells", CELL_MARK).alias("record"),
+    )
+
+
+@query
+def feed_admission_files(t):
+    """The code of every file of a listing, at a cap that some are over."""
+    folder, _ = t.feed_files()
+    listed = files.admit(files.listing(t.spark, folder), cap=50_000)
+    return listed.select(F.regexp_extract("path", "file_id=([0-9]+)", 1).cast("bigint").alias("import_id"), "size", "code")
+
+
+@query
+def feed_preview_files(t):
+    """The first records of every file, of which no more is read."""
+    _, found = t.feed_files()
+    shown = feed.preview_files(found)
+    return shown.select("import_id", "row_number", F.array_join("cells", CELL_MARK).alias("record"))
+
+
 @query
 def decode_lenient(t):
     found = t.documents.withColumn("encoding", encoding.detect_encoding(encoding.sample_of(col("content"))))
