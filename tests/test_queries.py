@@ -17,7 +17,7 @@ NAMES = (
     "header_rule", "report_csv_coded", "report_files", "report_store", "row_report_coded", "import_outcomes",
     "report_replace", "report_page", "import_page", "product_search", "reimport_noop", "load_resume", "load_audit",
     "apply_hot", "feed_scan_encodings", "feed_admission_files", "feed_preview_files", "store_buckets", "store_counts",
-    "report_page_stored", "change_page_stored", "product_search_indexed", "stream_apply", "template_match", "product_last_import",
+    "report_page_stored", "change_page_stored", "product_search_indexed",
 )
 
 
