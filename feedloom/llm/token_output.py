@@ -25,8 +25,9 @@ END_ID = 0
 BLOCK_BYTES = 2 << 20  # compressed bytes after which a block is closed
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS, SAMPLE_BYTES = 2_000, 8 << 20  # bounds of what the dictionary is trained on
-CACHED_PIECES = 800_000  # encoded pieces kept per Python worker, and at most the pieces of GROUP rows more
+CACHED_PIECES = 800_000  # encoded pieces after which a worker begins a new memory beside the last one
 GROUP = 500  # rows encoded together
+EDGE = 40  # characters of a first word up to which it is kept
 LEVEL = 3
 
 PIECE_BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -63,14 +64,21 @@ class Encoder:
         for token, at in vocabulary.items():
             self.widths[at] = len(token)
         self.pieces: dict[str, bytes] = {}  # pieces that follow a space
+        self.older: dict[str, bytes] = {}  # those met before them; what is met again moves over
+        self.edges: dict[str, bytes] = {}  # first words and white space at the end of texts
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 2_000):
-            part = [" " + p for p in pieces[at : at + 2_000]]
+    def _learn(self, pieces: set[str]) -> None:
+        """Have all of `pieces` in memory."""
+        new = pieces.difference(self.pieces)
+        again = new.intersection(self.older)
+        self.pieces.update((p, self.older[p]) for p in again)
+        rest = [p for p in new.difference(again) if p and not p[-1].isspace()]
+        for at in range(0, len(rest), 2_000):
+            part = [" " + p for p in rest[at : at + 2_000]]
             raw = self._whole(["".join(part)])[0]
             ends = np.cumsum([len(p.encode()) for p in part])
             places = np.cumsum(self.widths[np.frombuffer(raw, dtype="<u4")])
@@ -101,22 +109,28 @@ class Encoder:
                 head, *rest = body.split(" ")
                 plain.append((at, head, rest, body, text[len(body) :]))
         if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
-        new = set(chain.from_iterable(rest for _, _, rest, _, _ in plain)).difference(self.pieces)
-        self._learn([p for p in new if p and not p[-1].isspace()])
-        heads = self._whole([head for _, head, _, _, _ in plain])
-        tails = {t: self._whole([t])[0] if t else b"" for t in {tail for *_, tail in plain}}
-        for (at, head, rest, body, tail), first in zip(plain, heads, strict=True):
+            self.pieces, self.older = {}, self.pieces
+        self._learn(set(chain.from_iterable(rest for _, _, rest, _, _ in plain)))
+        if len(self.edges) > CACHED_PIECES:
+            self.edges = {}
+        edges = {head for _, head, _, _, _ in plain if len(head) <= EDGE}.union(tail for *_, tail in plain)
+        edges = list(edges.difference(self.edges))
+        self.edges.update(zip(edges, self._whole(edges), strict=True))
+        for at, head, rest, body, tail in plain:
             try:
                 if rest and (not head or head[-1].isspace()):
                     raise KeyError(head)
-                out[at] = first + self._joined(rest) + tails[tail]
+                out[at] = self._edge(head) + self._joined(rest) + self._edge(tail)
             except KeyError:
                 head, *rest = PIECE_BORDER.split(body)
-                self._learn(list(set(rest).difference(self.pieces)))
-                out[at] = self._whole([head])[0] + self._joined(rest) + tails[tail]
+                self._learn(set(rest))
+                out[at] = self._edge(head) + self._joined(rest) + self._edge(tail)
         return out
 
+    def _edge(self, text: str) -> bytes:
+        found = self.edges.get(text)
+        return self._whole([text])[0] if found is None else found
+
 
 @cache
 def encoder(tokenizer_file: str) -> Encoder:
@@ -140,29 +154,43 @@ END = np.array([END_ID], dtype="<u4").tobytes()
 def train_dictionary(docs: DataFrame, tokenizer_file: str, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary of at most `size` bytes, trained in one task on a bounded sample of documents.
 
-    Empty where the sample is too small to train on; documents are then compressed without one.
+    At most SAMPLE_DOCUMENTS rows by hash of id and text, a repeated row once, are encoded where they lie; their ids, up
+    to SAMPLE_BYTES, go to the training task. Empty where the sample is too small to train on; documents are then
+    compressed without one.
     """
-    ids = docs.filter("text is not null and doc_id is not null").select(
-        "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("_at")
-    )
-    chosen = ids.distinct().orderBy("_at", "doc_id").limit(SAMPLE_DOCUMENTS).select("doc_id")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    longest = SAMPLE_BYTES // 16
+    rows = docs.filter(F.octet_length("text") <= longest // 2).select("doc_id", F.xxhash64("text").alias("_text"), "text")
+    keys = rows.select("doc_id", "_text", F.xxhash64(F.col("doc_id").cast("string"), "_text").alias("_at"))
+    chosen = keys.distinct().orderBy("_at", "doc_id", "_text").limit(SAMPLE_DOCUMENTS).select("doc_id", "_text")
+    same = rows.doc_id.eqNullSafe(chosen.doc_id) & (rows["_text"] == chosen["_text"])
+    sample = rows.join(F.broadcast(chosen), same, "left_semi").groupBy("doc_id", "_text").agg(F.first("text").alias("text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = 0
+        for doc_id, raw in _encoded(batches, tokenizer_file):
+            if held < SAMPLE_BYTES and len(raw) <= longest:
+                held += len(raw)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "raw": pa.array([raw], pa.binary())})
+            elif held >= SAMPLE_BYTES:
+                return
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples, held = [], 0
-        for _, raw in _encoded(batches, tokenizer_file):
-            if held < SAMPLE_BYTES and len(raw) <= SAMPLE_BYTES // 16:
-                samples.append(raw)
-                held += len(raw)
+        for raw in chain.from_iterable(batch.column("raw").to_pylist() for batch in batches):
+            if held >= SAMPLE_BYTES:
+                break
+            samples.append(raw)
+            held += len(raw)
         try:
             found = zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
         except zstandard.ZstdError:
             found = b""
         yield pa.RecordBatch.from_pydict({"dictionary": pa.array([found], pa.binary())})
 
-    one = sample.repartition(16, F.xxhash64(F.col("doc_id"))).sortWithinPartitions("doc_id", "text").coalesce(1)
-    rows = one.mapInArrow(learn, "dictionary binary").collect()
-    return bytes(rows[0]["dictionary"]) if rows else b""
+    encoded = sample.select("doc_id", "text").mapInArrow(encode, "doc_id long, raw binary")
+    one = encoded.repartition(1).sortWithinPartitions("doc_id", "raw")
+    found = one.mapInArrow(learn, "dictionary binary").collect()
+    return bytes(found[0]["dictionary"]) if found else b""
 
 
 def _hash(dictionary: bytes) -> str:
