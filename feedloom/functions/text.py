@@ -26,20 +26,39 @@ def js_trim(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))
 
 
+# Ranges in which every character is its own composed form, carries no combining class and joins no character before
+# it: text made of these alone is NFC already. Latin, Greek and Cyrillic letters, kana, CJK ideographs, Hangul syllables.
+NFC_RANGES = (
+    (0x0000, 0x02FF), (0x0388, 0x03FF), (0x0400, 0x0482), (0x048A, 0x052F), (0x1E00, 0x1EFF), (0x2010, 0x2027),
+    (0x2030, 0x205E), (0x20A0, 0x20BF), (0x3041, 0x3096), (0x30A0, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xAC00, 0xD7A3),
+)
+_COMPOSED = "\\A[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in NFC_RANGES) + "]*+\\z"
+
+
 def nfc(value: Column) -> Column:
-    """Unicode NFC inside the JVM; pure ASCII text skips the call."""
+    """Unicode NFC inside the JVM; null, ASCII, and text of characters that composition cannot change, skip the call.
+
+    The call is no part of generated code: select it in a step of its own, behind which the next step is compiled whole.
+    """
     composed = F.java_method(
         F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(False)
     )
-    return F.when(F.octet_length(value) == F.char_length(value), value).otherwise(composed)
+    settled = value.isNull() | (F.octet_length(value) == F.char_length(value))
+    return F.when(settled, value).when(value.rlike(_COMPOSED), value).otherwise(composed)
 
 
 def strip_controls(value: Column) -> Column:
     return F.translate(value, CONTROLS, "")
 
 
+def trim_composed(value: Column) -> Column:
+    """The rest of `normalize_text` for text that is NFC."""
+    return js_trim(strip_controls(value))
+
+
 def normalize_text(value: Column) -> Column:
-    return js_trim(strip_controls(nfc(value)))
+    return trim_composed(nfc(value))
 
 
 def utf16_length(value: Column) -> Column:

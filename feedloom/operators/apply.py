@@ -15,6 +15,7 @@ from feedloom.operators.groups import (
     BLOCK_ROWS,
     block_of,
     broadcast_if_small,
+    is_small,
     number_rows,
     previous_value,
     previous_written,
@@ -25,19 +26,59 @@ from feedloom.session import stage
 
 KEY = ["catalog_id", "sku"]
 ORDER = ["import_id", "row_number"]
+KEY_ROWS = 100_000  # rows of one key that are sorted at once; keys with more are taken in blocks
 LEDGER_BLOCK = 1000  # row numbers per block when rows are looked up in the ledger
+BATCH_RANGES = 300_000  # ranges of batches up to which they are sent to every task, if the bytes allow it too
 STORED = 0  # import_id and row_number of a stored product inside a replay
 
 
 # --- batches ---------------------------------------------------------------------------------
 
 
-def batch_rows(valid: DataFrame, batch_size: int | Column = BATCH_SIZE) -> DataFrame:
-    """Add `batch_number`: valid rows in file order, `batch_size` to a batch (a number or a column of `valid`)."""
-    placed = number_rows(valid, ["import_id"], block_of("row_number", BLOCK_ROWS), ["row_number"], "_place")
+def batch_ranges(valid: DataFrame, batch_size: int | Column = BATCH_SIZE) -> DataFrame:
+    """(import_id, batch_number, first_row, last_row): valid rows in file order, `batch_size` to a batch (a number or
+    a column of `valid`). Only the row numbers are shuffled."""
     size = F.lit(batch_size) if isinstance(batch_size, int) else batch_size
-    number = F.call_function("div", F.col("_place") - 1, size.cast("bigint")) + 1
-    return placed.withColumn("batch_number", number).drop("_place")
+    numbers = valid.select("import_id", "row_number", size.cast("bigint").alias("_size"))
+    placed = number_rows(numbers, ["import_id"], block_of("row_number", BLOCK_ROWS), ["row_number"], "_place")
+    number = F.call_function("div", F.col("_place") - 1, F.col("_size")) + 1
+    return placed.groupBy("import_id", number.alias("batch_number")).agg(
+        F.min("row_number").alias("first_row"), F.max("row_number").alias("last_row")
+    )
+
+
+def batch_rows(valid: DataFrame, batch_size: int | Column = BATCH_SIZE) -> DataFrame:
+    """Add `batch_number`. Row numbers are unique within an import.
+
+    `valid` is read twice, its row numbers first: pass stored rows. Where the ranges of the batches are small enough to
+    be sent along, the rows themselves do not move.
+    """
+    ranges = stage(batch_ranges(valid, batch_size), "batches")
+    blocks = _range_blocks(ranges, "batch_number")
+    if is_small(blocks, BATCH_RANGES):
+        blocks = F.broadcast(blocks)
+    placed = valid.drop("batch_number").withColumn("_at", block_of("row_number", LEDGER_BLOCK))
+    return placed.join(blocks, _inside_range()).drop("_at", "_import", "_first", "_last", "_block")
+
+
+def _range_blocks(ranges: DataFrame, *columns: str) -> DataFrame:
+    """Ranges of row numbers once for each block of row numbers they touch."""
+    first, last = block_of("first_row", LEDGER_BLOCK), block_of("last_row", LEDGER_BLOCK)
+    return ranges.select(
+        F.col("import_id").alias("_import"),
+        F.col("first_row").alias("_first"),
+        F.col("last_row").alias("_last"),
+        *columns,
+        F.explode(F.sequence(first, last)).alias("_block"),
+    )
+
+
+def _inside_range() -> Column:
+    return (
+        (F.col("import_id") == F.col("_import"))
+        & (F.col("_at") == F.col("_block"))
+        & F.col("row_number").between(F.col("_first"), F.col("_last"))
+    )
 
 
 def with_batch_size(valid: DataFrame, imports: DataFrame, default: int = BATCH_SIZE) -> DataFrame:
@@ -85,19 +126,8 @@ def not_applied(rows: DataFrame, ledger: DataFrame) -> DataFrame:
 
     Ranges are looked up by blocks of row numbers, so that no import's rows meet in one task.
     """
-    ranges = ledger.select(
-        "import_id",
-        "first_row",
-        "last_row",
-        F.explode(F.sequence(block_of("first_row", LEDGER_BLOCK), block_of("last_row", LEDGER_BLOCK))).alias("_block"),
-    ).withColumnRenamed("import_id", "_import")
     placed = rows.withColumn("_at", block_of("row_number", LEDGER_BLOCK))
-    inside = (
-        (F.col("import_id") == F.col("_import"))
-        & (F.col("_at") == F.col("_block"))
-        & F.col("row_number").between(F.col("first_row"), F.col("last_row"))
-    )
-    return placed.join(ranges, inside, "left_anti").drop("_at")
+    return placed.join(_range_blocks(ledger), _inside_range(), "left_anti").drop("_at")
 
 
 def resume_rows(valid: DataFrame, ledger: DataFrame, batch_size: int | Column = BATCH_SIZE) -> DataFrame:
@@ -143,12 +173,16 @@ def apply_actions(
     first = products.select(*KEY, stored.alias("import_id"), stored.alias("row_number"), "row_hash")
     both, block = _key_blocks(rows.unionByName(first, allowMissingColumns=True), offsets, block_rows)
     replay = previous_value(both, KEY, block, ORDER, "row_hash", "_seen").filter(F.col("import_id") > STORED).drop("_offset")
-    action = (
+    return replay.withColumn("action", _action()).drop("_seen")
+
+
+def _action() -> Column:
+    """What a row does, told by the hash `_seen` on the row of its key before it."""
+    return (
         F.when(F.col("_seen").isNull(), F.lit("create"))
         .when(F.col("_seen") == F.col("row_hash"), F.lit("skip"))
         .otherwise(F.lit("update"))
     )
-    return replay.withColumn("action", action).drop("_seen")
 
 
 def _new_value(field: str) -> Column:
@@ -160,14 +194,26 @@ def _new_value(field: str) -> Column:
 
 
 def _writes(field: str) -> Column:
-    """struct<v> when the row writes the field, else null."""
+    """struct<v> when the row writes the field, else null; a stored product wrote all of them."""
     is_set = F.col(f"sets_{field}") if field in OPTIONAL_FIELDS else F.lit(True)
-    create, update = F.col("action") == "create", F.col("action") == "update"
+    create, update, stored = (F.col("action") == a for a in ("create", "update", "stored"))
     return F.when(create, F.struct(_new_value(field).alias("v"))).when(
-        update & is_set, F.struct(F.col(field).alias("v"))
+        stored | (update & is_set), F.struct(F.col(field).alias("v"))
     )
 
 
+WRITES = [f"w_{f}" for f in PRODUCT_FIELDS]
+PLAYED = [*KEY, *ORDER, "batch_number", "action", "row_hash"]
+
+
+def _with_writes(actions: DataFrame) -> DataFrame:
+    """Writing rows with w_<field>, what each of them writes; rows that have been replayed carry it already."""
+    writing = actions.filter("action <> 'skip'")
+    if WRITES[0] in actions.columns:
+        return writing
+    return writing.select(*PLAYED, *[_writes(f).alias(f"w_{f}") for f in PRODUCT_FIELDS])
+
+
 def _replay(actions: DataFrame, products: DataFrame) -> DataFrame:
     """Stored products and writing rows in one shape: w_<field> is what each of them writes."""
     stored = F.lit(STORED).cast("bigint")
@@ -182,25 +228,70 @@ def _replay(actions: DataFrame, products: DataFrame) -> DataFrame:
         "updated_at",
         *[F.struct(F.col(f).alias("v")).alias(f"w_{f}") for f in PRODUCT_FIELDS],
     )
-    rows = actions.filter("action <> 'skip'").select(
-        *KEY,
-        *ORDER,
-        "batch_number",
-        "action",
-        "row_hash",
-        *[_writes(f).alias(f"w_{f}") for f in PRODUCT_FIELDS],
-    )
+    rows = _with_writes(actions).select(*PLAYED, *WRITES)
     return first.unionByName(rows, allowMissingColumns=True)
 
 
+def hot_keys(rows: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame | None:
+    """Keys with more rows than one sort should take, or None where there are none; counted on the map side."""
+    counted = rows.groupBy(*KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") > key_rows)
+    found = stage(counted.select(*KEY), "hot-keys")
+    return None if found.isEmpty() else found
+
+
+def replay(
+    rows: DataFrame, products: DataFrame, hot: DataFrame | None = None, offsets: DataFrame | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Rows with their `action`, what each writes (`w_<field>`) and what was there before (`old_w_<field>`), as struct<v>.
+
+    Rows move once: one layout by key serves the action and the old values. Only rows of `hot` keys (see `hot_keys`) are
+    taken in blocks, where actions come first and a summary of each block carries the values on. Every row gets one row;
+    a row that is skipped writes nothing. Pass stored rows.
+    """
+    if hot is None:
+        return _replay_together(rows, products)
+    hot = broadcast_if_small(hot)
+    apart, rest = (
+        [df.join(hot, KEY, how) for df in (rows, products)] for how in ("left_semi", "left_anti")
+    )
+    return _replay_together(*rest).unionByName(_replay_blocks(*apart, offsets, block_rows))
+
+
+def _replay_together(rows: DataFrame, products: DataFrame) -> DataFrame:
+    stored = F.lit(STORED).cast("bigint")
+    first = products.select(*KEY, *PRODUCT_FIELDS, "row_hash", stored.alias("import_id"), stored.alias("row_number"))
+    both = rows.unionByName(first, allowMissingColumns=True)
+    by_key = Window.partitionBy(*KEY).orderBy(*ORDER)
+    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_seen", F.lag("row_hash").over(by_key))
+    acting = seen.withColumn("action", F.when(F.col("import_id") == STORED, F.lit("stored")).otherwise(_action()))
+    writing = acting.select(*PLAYED, *[_writes(f).alias(f"w_{f}") for f in PRODUCT_FIELDS])
+    return writing.select("*", *[F.last(w, ignorenulls=True).over(earlier).alias(f"old_{w}") for w in WRITES]).filter(
+        F.col("import_id") > STORED
+    )
+
+
+def _replay_blocks(rows: DataFrame, products: DataFrame, offsets: DataFrame | None, block_rows: int) -> DataFrame:
+    actions = stage(apply_actions(rows, products, offsets, block_rows), "actions")
+    both, block = _key_blocks(_replay(actions, products), offsets, block_rows)
+    writing = previous_written(both, KEY, block, ORDER, WRITES).filter(F.col("import_id") > STORED)
+    idle = actions.filter("action = 'skip'").select(*PLAYED)
+    return writing.select(*PLAYED, *WRITES, *[f"old_{w}" for w in WRITES]).unionByName(idle, allowMissingColumns=True)
+
+
 def field_changes(
     actions: DataFrame, products: DataFrame, offsets: DataFrame | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """The audit: per created or updated row, the fields it changed with old and new value as text."""
-    writes = [f"w_{f}" for f in PRODUCT_FIELDS]
-    both, block = _key_blocks(_replay(actions, products), offsets, block_rows)
-    replay = previous_written(both, KEY, block, ORDER, writes)
-    rows = replay.filter(F.col("action").isin("create", "update"))
+    """The audit: per created or updated row, the fields it changed with old and new value as text.
+
+    Rows that have been replayed are listed as they are, without a shuffle.
+    """
+    if f"old_{WRITES[0]}" in actions.columns:
+        played = actions
+    else:
+        both, block = _key_blocks(_replay(actions, products), offsets, block_rows)
+        played = previous_written(both, KEY, block, ORDER, WRITES)
+    rows = played.filter(F.col("action").isin("create", "update"))
     change = "struct<field:string,old:string,new:string>"
     create = F.col("action") == "create"
 

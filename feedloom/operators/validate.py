@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.csvtext import is_blank_record
 from feedloom.functions.hashing import row_hash
 from feedloom.functions.numbers import decimal_parts, number_body, price_result, stock_result
-from feedloom.functions.text import excerpt, js_trim, longer_than, normalize_text
+from feedloom.functions.text import excerpt, js_trim, longer_than, nfc, trim_composed
 from feedloom.functions.urls import url_result
 from feedloom.operators.groups import BLOCK_ROWS, block_of, number_rows, previous_value, spread_join
 from feedloom.rules import LENGTH_CAPS, OPTIONAL_FIELDS, ROW_CAP, Rules
@@ -28,18 +28,24 @@ def _finding(column: Column, code: Column | str, message: Column | str, severity
     ).cast(FINDING)
 
 
-def _clean(mapped: DataFrame, rules: Rules) -> DataFrame:
+def _composed(mapped: DataFrame, rules: Rules) -> DataFrame:
+    """Text cells in NFC. Composition calls into a library, so it stands apart from what Spark compiles."""
+    texts = ["sku", "name", "category", "description", *(["image_url"] if rules.url_text_rules else [])]
+    return mapped.withColumns({f"{f}_raw": nfc(F.col(f"{f}_raw")) for f in texts})
+
+
+def _clean(composed: DataFrame, rules: Rules) -> DataFrame:
     """Normalized text, and the number cells reduced to sign, digits and separators."""
-    url = normalize_text if rules.url_text_rules else js_trim
-    return mapped.select(
+    url = trim_composed if rules.url_text_rules else js_trim
+    return composed.select(
         "import_id",
         "catalog_id",
         "row_number",
         "n_cells",
         "n_headers",
         "has_replacement",
-        *[c for c in mapped.columns if c.startswith("col_")],
-        *[normalize_text(F.col(f"{f}_raw")).alias(f) for f in ("sku", "name", "category", "description")],
+        *[c for c in composed.columns if c.startswith("col_")],
+        *[trim_composed(F.col(f"{f}_raw")).alias(f) for f in ("sku", "name", "category", "description")],
         url(F.col("image_url_raw")).alias("url_text"),
         (js_trim(F.col("price_raw")) == "").alias("price_blank"),
         (js_trim(F.col("stock_raw")) == "").alias("stock_blank"),
@@ -121,7 +127,7 @@ def _judge(parsed: DataFrame, rules: Rules) -> DataFrame:
 def validate_rows(mapped: DataFrame, rules: Rules) -> DataFrame:
     """One row per data record: product values, hash, findings, validity, and which optional fields a
     valid row sets (`sets_*`)."""
-    rows = _judge(_parse(_clean(mapped, rules)), rules)
+    rows = _judge(_parse(_clean(_composed(mapped, rules), rules)), rules)
     is_mapped = {f: F.col(f"col_{f}").isNotNull() for f in OPTIONAL_FIELDS}
     stock = F.col("stock_count.value")
     blank_stock = F.lit(None).cast("bigint") if rules.blank_stock_is_null else F.lit(0).cast("bigint")

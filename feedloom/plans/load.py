@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.operators.apply import (
-    apply_actions,
     batch_ledger,
     block_offsets,
     changes_json,
     field_changes,
+    hot_keys,
     merged_catalog,
+    replay,
     resume_rows,
     with_batch_size,
 )
@@ -118,14 +119,14 @@ def load_feeds(
         return last
     laid_out = store.layout(spark, root, {r.catalog_id: r.n for r in incoming}, bucket_rows)
     touched = _touched(spark, root, todo, laid_out)
-    offsets = block_offsets(todo)
-    actions = stage(apply_actions(todo, touched, offsets), "actions")
+    hot = hot_keys(todo)
+    actions = stage(replay(todo, touched, hot, None if hot is None else block_offsets(todo)), "actions")
     when = applied_at if applied_at is not None else F.current_timestamp()
     store.publish(
         root,
         last + 1,
         merged_catalog(actions, touched, when),
-        changes_json(field_changes(actions, touched, offsets)),
+        changes_json(field_changes(actions, touched)),
         batch_ledger(actions),
         laid_out,
     )

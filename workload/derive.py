@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.csvtext import quote_cell
 from feedloom.functions.hashing import header_signature
-from feedloom.operators.apply import apply_actions, batch_ledger, batch_rows
+from feedloom.operators.apply import apply_actions, batch_ledger, batch_rows, block_offsets, hot_keys, replay
 from feedloom.operators.groups import block_of, number_rows
 from feedloom.operators.mapping import map_columns
 from feedloom.operators.validate import data_row_numbers, valid_rows, validate_rows
@@ -283,6 +283,12 @@ class Tables:
     def actions(self) -> DataFrame:
         return stage(apply_actions(self.batched, self.staged_products), "actions")
 
+    @cached_property
+    def played(self) -> DataFrame:
+        """Rows with their action and the values before them."""
+        hot = hot_keys(self.valid)
+        return replay(self.batched, self.staged_products, hot, None if hot is None else block_offsets(self.valid))
+
     @cached_property
     def full_ledger(self) -> DataFrame:
         return batch_ledger(self.actions)

@@ -626,7 +626,7 @@ def change_page(t):
 @query
 def change_page_stored(t):
     path, block = new_folder(t.spark, "pages"), block_of("row_number", BLOCK_ROWS)
-    rows = load.changes_json(load.field_changes(t.actions, t.staged_products))
+    rows = load.changes_json(load.field_changes(t.played, t.staged_products))
     pages.write_pages(rows, path, "import_id", block, ("row_number",), ("action",))
     return pages.read_page(t.spark, path, "import_id", 2, page=2, per_page=20, action="update")
 
@@ -655,16 +655,15 @@ def apply_actions(t):
 
 @query
 def apply_changes(t):
-    return load.changes_json(load.field_changes(t.actions, t.staged_products))
+    return load.changes_json(load.field_changes(t.played, t.staged_products))
 
 
 @query
 def apply_hot(t):
     """One SKU holds a third of all rows, and imports are longer than a block: actions and audit of those rows."""
     rows = stage(t.batched.withColumn("sku", F.when(col("row_number") % 3 == 0, lit("HOT")).otherwise(col("sku"))), "hot")
-    offsets = load.block_offsets(rows, 50)
-    actions = stage(load.apply_actions(rows, t.staged_products, offsets, 50), "actions")
-    return load.changes_json(load.field_changes(actions, t.staged_products, offsets, 50))
+    played = load.replay(rows, t.staged_products, load.hot_keys(rows, 50), load.block_offsets(rows, 50), 50)
+    return load.changes_json(load.field_changes(played, t.staged_products))
 
 
 def _merged(t):
