@@ -38,8 +38,6 @@ _COMPOSED = "\\A[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in NFC_RANGES
 
 def nfc(value: Column) -> Column:
     """Unicode NFC inside the JVM; null, ASCII, and text of characters that composition cannot change, skip the call.
-
-    The call is no part of generated code: select it in a step of its own, behind which the next step is compiled whole.
     """
     composed = F.java_method(
         F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(False)
