@@ -61,9 +61,12 @@ def strip_currency(value: Column) -> Column:
     )
 
 
+_BARE = "\\A-?[0-9]++(?:[.,][0-9]++)?\\z"  # a number that is its own body
+
+
 def number_body(raw: Column) -> Column:
     """Sign, digits and separators of a written number; null when the cell is not one."""
-    return F.when(raw.rlike(_NUMBER), F.regexp_replace(raw, "[^0-9.,\\-]+", ""))
+    return F.when(raw.rlike(_BARE), raw).when(raw.rlike(_NUMBER), F.regexp_replace(raw, "[^0-9.,\\-]+", ""))
 
 
 def decimal_parts(body: Column) -> Column:
