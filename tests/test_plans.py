@@ -1,11 +1,12 @@
-"""What the optimizer makes of validation: nothing is worked out more often than it is written."""
+"""What plans and stored tables must not do as inputs grow: work out rules twice, or write a file for each import."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from feedloom.operators.validate import row_findings, validate_rows
-from feedloom.rules import CONTRACT, FIELDS
+from feedloom.rules import CODED, CONTRACT, FIELDS
+from feedloom.sources import report
 
 
 def patterns(df, phase: str) -> int:
@@ -22,3 +23,19 @@ def test_findings_are_worked_out_once(spark):
     assert patterns(found, "optimizedPlan") <= patterns(validated, "optimizedPlan")
     assert found.count() == 3
     assert not row_findings(validated.withColumn("findings", F.filter("findings", lambda f: F.lit(False)))).count()
+
+
+def test_findings_need_no_file_for_each_import(spark, tmp_path):
+    found = spark.sql(
+        "select nullif(id % 300, 299) import_id, 'validate' phase, id row_number, 'sku' column_name, 'c' code, 'error' severity, 'm' message from range(900)"
+    )
+    imports = spark.range(300).withColumnRenamed("id", "import_id")
+    for rules in (CODED, CONTRACT):
+        path = str(tmp_path / rules.name)
+        report.write_findings(found, path, rules, imports)
+        assert len(list((tmp_path / rules.name).rglob("*.parquet"))) <= 8
+        report.write_findings(found.filter("import_id = 7").limit(1), path, rules, imports.filter("import_id % 3 = 1"))
+        stored = report.read_findings(spark, path)
+        assert stored.columns == ["import_id", "row_number", "column_name", "code", "severity", "message", "phase"]
+        assert stored.filter("import_id is null").count() == 3 and stored.filter("import_id = 7").count() == 1
+        assert stored.count() == 3 * 200 + 1
