@@ -377,6 +377,16 @@ def test_a_load_writes_the_buckets_it_touches(spark, tmp_path):
     assert [tuple(r) for r in store.product_counts(spark, root).collect()] == [(1, 399)]
 
 
+def test_small_buckets_share_folders(spark, tmp_path):
+    root = str(tmp_path / "store")
+    load_feeds(spark, root, as_validated(spark, numbered(spark, 1, range(1, 65), 100)), CONTRACT, bucket_rows=4)
+    assert store._newest(spark, root).count() > 8
+    assert len(list((tmp_path / "store" / "products").glob("*/*/bucket=*"))) == 1
+    load_feeds(spark, root, as_validated(spark, numbered(spark, 2, [7], 200)), CONTRACT, bucket_rows=4)
+    kept = [(r.sku, r.price_cents) for r in store.read_products(spark, root).collect()]
+    assert sorted(kept) == sorted((f"S{n}", 200 if n == 7 else 100) for n in range(1, 65))
+
+
 def test_a_changed_file_fails_its_import_inside_the_job(spark, tmp_path):
     drop, root = tmp_path / "drop", str(tmp_path / "store")
     drop.mkdir()
