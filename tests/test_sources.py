@@ -7,6 +7,7 @@ import hashlib
 import io
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -17,6 +18,7 @@ from feedloom.operators.groups import block_of
 from feedloom.plans.load import data_records, intact, load_feeds, validate_feeds
 from feedloom.rules import CODED, CONTRACT, FIELDS
 from feedloom.sources import feed, files, pages, ranges, report, search, store
+from feedloom.streaming import jobs
 from feedloom.streaming.jobs import stream_loads, stream_reports
 
 TEXT = "sku;name;price\nA-1;Ançi \U0001f600;9,99\n\n\"B;2\";5\" bolt;1,50\nC;\"say \"\"x\"\"\";3\nshort;1"
@@ -346,6 +348,18 @@ def test_own_batch_sizes_and_broken_files(spark, tmp_path):
     assert {r.import_id for r in intact(rows, recorded, listing).collect()} == {1}
 
 
+def test_micro_batches_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    imports, _ = load_inputs(spark, drop, CSV)
+    (drop / "g.csv").write_text("\n".join(CSV) + "\n")
+    for most, batches in ((1, 2), (1 << 20, 1)):
+        monkeypatch.setattr(jobs, "BYTES_PER_BATCH", most)
+        out, state = (str(tmp_path / f"{name}{most}") for name in ("out", "state"))
+        stream_reports(spark, str(drop), imports, CONTRACT, out, state).awaitTermination()
+        assert len(list(Path(out).glob("batch=*"))) == batches
+
+
 def test_only_committed_folders_are_read(spark, tmp_path):
     root = str(tmp_path / "store")
     for n in range(5):
