@@ -58,3 +58,8 @@ def test_spread_join_beyond_broadcast(spark, rows, how, monkeypatch):
     monkeypatch.setattr(groups, "is_small", lambda dimension, rows=0: False)
     large = spread_join(rows.select("g", "n"), dims, "g", F.col("n"), how)
     assert same(small, want) and same(large, want)
+
+
+def test_dimensions_of_many_rows_are_sent_along(spark):
+    assert groups.is_small(spark.range(200_000))
+    assert not groups.is_small(spark.range(20), 10) and not groups.is_small(spark.range(20), size=10)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions import text
+from feedloom.operators import apply, groups
 from feedloom.operators.apply import batch_rows, block_offsets, field_changes, hot_keys, merged_catalog, replay
 from feedloom.rules import OPTIONAL_FIELDS, PRODUCT_FIELDS
 from feedloom.session import stage
@@ -122,3 +123,15 @@ def test_nfc(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     got = dict(df.select("i", text.nfc(F.col("v"))).collect())
     assert all(got[i] == (None if v is None else unicodedata.normalize("NFC", v)) for i, v in enumerate(values))
+
+
+@pytest.mark.parametrize("small", (True, False))
+def test_batches_across_blocks_of_row_numbers(spark, monkeypatch, small):
+    monkeypatch.setattr(groups, "is_small", lambda dimension, *bounds: small)
+    rows = [(i, n) for i in (1, 2) for n in range(1, 2600, i)]
+    valid = spark.createDataFrame([*rows, (None, 1)], "import_id bigint, row_number bigint")
+    found = {(r.import_id, r.row_number): r.batch_number for r in apply.batch_rows(valid, 700).collect()}
+    assert found == {(i, n): (n - 1) // i // 700 + 1 for i, n in rows}
+    ledger = spark.createDataFrame([(1, 1, 900, 1100), (1, 2, 1200, 1200), (None, 1, 1, 9)], "import_id bigint, batch_number bigint, first_row bigint, last_row bigint")
+    kept = sorted((r.import_id or 0, r.row_number) for r in apply.not_applied(valid, ledger).collect())
+    assert kept == sorted([(0, 1), *((i, n) for i, n in rows if i == 2 or not (900 <= n <= 1100 or n == 1200))])
