@@ -478,3 +478,22 @@ def test_stages_give_back_columns_of_clashing_names(spark, docs, tmp_path):
         assert kept.columns == clashing.columns, name
         rows = kept.collect()
         assert rows and all(r[c] == f"own {c}" for r in rows for c in names), name
+
+
+def test_op7_trains_on_every_finding_and_dealing_changes_nothing(spark, monkeypatch):
+    """Findings were cut to 3,000 per class and shape; now each is either trained on or kept, whatever the number."""
+    docs = spark.createDataFrame([(i, f"internationalization{i:05d} constitutional{i:05d}z") for i in range(4_000)], "doc_id long, text string")
+    monkeypatch.setattr(secret_scans, "SHARD", 2_000)
+    seen, kept, learn, calibrated = [], [], secret_scans.rounds, secret_scans._calibrated
+    monkeypatch.setattr(secret_scans, "rounds", lambda n: seen.append(n) or learn(n))
+    monkeypatch.setattr(secret_scans, "_calibrated", lambda net, rows, recall: kept.append(rows.count()) or calibrated(net, rows, recall))
+    monkeypatch.setattr(secret_scans, "VISITS", 1)
+    nets = [secret_scans.fit(docs.repartition(n)) for n in (1, 5)]
+    assert seen[0] > 2 * 3_000 and seen[0] + kept[0] == 8_000 + 400 and seen[0] == seen[1]
+    assert all(np.array_equal(getattr(nets[0], w), getattr(nets[1], w)) for w in secret_scans.WEIGHTS)
+    assert nets[0].threshold == pytest.approx(nets[1].threshold, rel=1e-9)
+    for n in (1, 2_000, 2_001, 29_000, 10**6, 10**8):
+        dealt = secret_scans.rounds(n)
+        assert all(shards <= secret_scans.MOST_SHARDS for _, _, shards, _ in dealt)
+        first = list(itertools.takewhile(lambda r: r[:2] != (0, secret_scans.PLACES), dealt))
+        assert not first or [low for low, *_ in first] == [0, *[high for _, high, *_ in first[:-1]]] and first[-1][1] == secret_scans.PLACES
