@@ -256,13 +256,14 @@ def row_cap(records: DataFrame, rules: Rules, cap: int = ROW_CAP) -> DataFrame:
     )
 
 
-def within_cap(records: DataFrame, rules: Rules, cap: int | None = None) -> DataFrame:
+def within_cap(records: DataFrame, rules: Rules, cap: int | None = None, capped: DataFrame | None = None) -> DataFrame:
     """Data records, by default all of them. With a cap, imports over it are left out as a whole; their
-    outcome (see `import_outcomes`) says so."""
+    outcome (see `import_outcomes`) says so. `capped` is what `row_cap` found, where that is stored already."""
     data = records.filter(~is_blank_record(F.col("cells")))
     if cap is None:
         return data
-    failed = stage(row_cap(records, rules, cap).filter("state = 'failed'").select("import_id"), "over-cap")
+    found = row_cap(records, rules, cap) if capped is None else capped
+    failed = stage(found.filter("state = 'failed'").select("import_id"), "over-cap")
     return spread_join(data, failed, "import_id", F.col("row_number"), "left_anti")
 
 

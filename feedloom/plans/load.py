@@ -65,6 +65,7 @@ def validate_feeds(
 ) -> Validation:
     """Parse every record once into a staged table; report, totals, dry run and outcomes read it from there.
 
+    `records` are read once for the headers, once for a cap and once to be parsed: pass stored ones, or read ones.
     Every import gets an outcome, also one that has no mapping or more rows than a given cap. Where `imports` has a
     `file_sha256`, an import whose file is gone or no longer has that hash fails, and none of its rows goes on. Without
     `products` there is no dry run, and its numbers are null.
@@ -75,7 +76,7 @@ def validate_feeds(
         broken = stage(changed_files(imports), "broken")
         data = spread_join(data, broken.select("import_id").distinct(), "import_id", F.col("row_number"), "left_anti")
     capped = stage(row_cap(data, rules, cap), "capped") if cap is not None else None
-    kept = data_row_numbers(within_cap(data, rules, cap), rules)
+    kept = data_row_numbers(within_cap(data, rules, cap, capped), rules)
     validated = stage(validate_rows(map_columns(kept, has_mapping(imports)), rules), "validated")
     counts = None if products is None else dry_run_counts(dry_run(last_wins(valid_rows(validated)), products))
     totals = validation_totals(validated)

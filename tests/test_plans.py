@@ -39,3 +39,21 @@ def test_findings_need_no_file_for_each_import(spark, tmp_path):
         assert stored.columns == ["import_id", "row_number", "column_name", "code", "severity", "message", "phase"]
         assert stored.filter("import_id is null").count() == 3 and stored.filter("import_id = 7").count() == 1
         assert stored.count() == 3 * 200 + 1
+
+
+def test_rows_are_counted_once_for_a_cap(spark, monkeypatch):
+    """What `row_cap` found is used as it is, not counted again by reading every record once more."""
+    from feedloom.operators import validate
+    from feedloom.rules import CONTRACT
+
+    rows = [(1, 1, ["a"]), (1, 2, ["b"]), (2, 1, ["c"]), (2, 2, [" "]), (None, 1, ["d"])]
+    records = spark.createDataFrame(rows, "import_id long, row_number long, cells array<string>")
+    plain = sorted(map(str, validate.within_cap(records, CONTRACT, 1).collect()))
+    capped = validate.row_cap(records, CONTRACT, 1)
+
+    def refuse(*_):
+        raise AssertionError("counted twice")
+
+    monkeypatch.setattr(validate, "row_cap", refuse)
+    assert sorted(map(str, validate.within_cap(records, CONTRACT, 1, capped).collect())) == plain
+    assert len(plain) == 2
