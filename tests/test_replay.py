@@ -135,3 +135,15 @@ def test_batches_across_blocks_of_row_numbers(spark, monkeypatch, small):
     ledger = spark.createDataFrame([(1, 1, 900, 1100), (1, 2, 1200, 1200), (None, 1, 1, 9)], "import_id bigint, batch_number bigint, first_row bigint, last_row bigint")
     kept = sorted((r.import_id or 0, r.row_number) for r in apply.not_applied(valid, ledger).collect())
     assert kept == sorted([(0, 1), *((i, n) for i, n in rows if i == 2 or not (900 <= n <= 1100 or n == 1200))])
+
+
+def test_audit_page_and_merged_catalog_replay_rows_in_one_layout(spark, monkeypatch):
+    """Both laid rows out by key for their actions first, and moved them again for what they write."""
+    from workload import derive, queries
+
+    def refuse(*_):
+        raise AssertionError("rows are laid out twice")
+
+    monkeypatch.setattr(derive, "apply_actions", refuse)
+    assert queries.QUERIES["change_page"](spark, "/root/testdata/sf0.001") is not None
+    assert queries.QUERIES["merged_catalog"](spark, "/root/testdata/sf0.001") is not None

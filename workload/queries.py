@@ -667,7 +667,9 @@ def apply_hot(t):
 
 
 def _merged(t):
-    return load.merged_catalog(t.actions, t.staged_products, lit(APPLIED_AT).cast("timestamp"))
+    """As in a load: rows are replayed in one layout by key, and what each of them writes is stored and folded."""
+    written = stage(t.played.select(*load.PLAYED, *load.WRITES), "actions")
+    return load.merged_catalog(written, t.staged_products, lit(APPLIED_AT).cast("timestamp"))
 
 
 def _dated(products):
