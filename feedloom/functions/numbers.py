@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import WHITESPACE, js_trim
+from feedloom.functions.text import ANY_SPACE, WHITESPACE, js_trim
 from feedloom.rules import PRICE_MAX_CENTS, STOCK_MAX
 
-_WS = f"[{WHITESPACE}]*+"
+_WS = ANY_SPACE
 # fixed values: currency marks and the spaces that may group digits
 _MARK = "(?:[$€£]|[A-Za-z]{3})"
 _GROUP_SPACE = "[\u00a0\u202f]"
@@ -34,6 +34,9 @@ _WHOLE = (
     "|[0-9]{1,3}(?:\\.[0-9]{3}){2,}|[0-9]{1,3}(?:,[0-9]{3}){2,})\\z"
 )
 _FRACTIONAL = "\\A-?(?:[0-9,]*\\.[0-9]*|[0-9.]*,[0-9]*)\\z"
+# What nearly all bodies are: digits alone, or one point that groups no thousands.
+_DIGITS = "\\A[0-9]++\\z"
+_POINT = "\\A[0-9]++\\.(?![0-9]{3}\\z)[0-9]*+\\z"
 
 _LEADING_MARK = f"\\A{_MARK}{_WS}(?=[\\s\\S]*[0-9])"
 _TRAILING_MARK = f"(?s)\\A(.*[0-9](?:.*[^{WHITESPACE}])??){_WS}{_MARK}\\z"
@@ -84,7 +87,12 @@ def decimal_parts(body: Column) -> Column:
         F.translate(head, "-.,", "").alias("integer"),
         fraction.alias("fraction"),
     )
-    return F.when(body.rlike(_WHOLE), whole).when(body.rlike(_FRACTIONAL), split).cast(_PARTS)
+    plain = lambda integer, fraction: F.struct(
+        F.lit(False).alias("negative"), integer.alias("integer"), fraction.alias("fraction")
+    )
+    at_point = plain(F.substring_index(body, ".", 1), F.substring_index(body, ".", -1))
+    quick = F.when(body.rlike(_DIGITS), plain(body, F.lit(""))).when(body.rlike(_POINT), at_point)
+    return quick.when(body.rlike(_WHOLE), whole).when(body.rlike(_FRACTIONAL), split).cast(_PARTS)
 
 
 def parse_decimal(raw: Column) -> Column:

@@ -102,10 +102,12 @@ def _judge(parsed: DataFrame, rules: Rules) -> DataFrame:
         "columns_mismatch",
         F.concat(F.lit("Expected "), F.col("n_headers"), F.lit(" columns, got "), F.col("n_cells")),
     )
+    nothing = F.array().cast(f"array<{FINDING}>")
+    # Lists joined, because a filter over one list is not compiled.
     found = (
         F.when(F.col("mismatch"), F.array(shape))
-        .when(F.col("wrong"), F.array_compact(F.array(*[F.when(test, what) for test, what in checks])))
-        .otherwise(F.array().cast(f"array<{FINDING}>"))
+        .when(F.col("wrong"), F.concat(*[F.when(test, F.array(what)).otherwise(nothing) for test, what in checks]))
+        .otherwise(nothing)
     )
     if rules.replacement_warning:
         warning = _finding(

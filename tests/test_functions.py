@@ -179,3 +179,17 @@ def test_escape_cell(spark):
         "a", "'=1", '"say ""x"""', '"-1,2"', "x\ry", "", "'@", '"=a\nb"']
     assert column(spark, raw, lambda c: csvtext.escape_cell(c, CONTRACT)) == [
         "a", "'=1", '"say ""x"""', "\"'-1,2\"", '"x\ry"', "", "'@", "\"'=a\nb\""]
+
+
+def test_quick_patterns_read_as_the_whole_rule_does(spark):
+    shapes = {
+        "5": (False, "5", ""), "007": (False, "007", ""), "1.5": (False, "1", "5"), "1.": (False, "1", ""), "1.234": (False, "1234", ""),
+        "1.2345": (False, "1", "2345"), "0.001": (False, "0001", ""), "1,5": (False, "1", "5"), "-1.5": (True, "1", "5"),
+        ".5": (False, "", "5"), "　 7﻿": (False, "7", ""), "$ 5.25 ": (False, "5", "25"), "1.2.3": None, " ": None,
+    }
+    got = column(spark, list(shapes), numbers.parse_decimal)
+    assert [r and tuple(r) for r in got] == list(shapes.values())
+    blanks = {"": True, " \t　﻿": True, " x": False, "x ": False, "\u0007": False, "\n": True}
+    assert column(spark, list(blanks), text.is_blank) == list(blanks.values())
+    # Over text that is no blank, the first look at a character settles it: the class of white space is not tried.
+    assert "(?![!-~])" in numbers._NUMBER

@@ -57,3 +57,29 @@ def test_rows_are_counted_once_for_a_cap(spark, monkeypatch):
     monkeypatch.setattr(validate, "row_cap", refuse)
     assert sorted(map(str, validate.within_cap(records, CONTRACT, 1, capped).collect())) == plain
     assert len(plain) == 2
+
+
+def test_cells_are_built_once_for_the_look_at_blank_ones(spark):
+    from workload.derive import Tables
+
+    raw = [(1, 1, "a"), (1, 2, "z"), (1, 3, " "), (1, 4, None), (None, 5, "b"), (1, 1, "a")]
+    rows = spark.createDataFrame(raw, "import_id long, row_number long, x string")
+    t = Tables(spark, "none")
+    t.__dict__["records"] = rows.withColumn("cells", F.when(F.col("x").rlike("z"), F.array(F.lit("\t"))).otherwise(F.array("x", F.lit("y")))).drop("x")
+    assert patterns(t.data, "optimizedPlan") == 1
+    kept = sorted((r.import_id or 0, r.row_number, tuple(r.cells)) for r in t.data.collect())
+    assert kept == [(0, 5, ("b", "y")), (1, 1, ("a", "y")), (1, 1, ("a", "y")), (1, 3, (" ", "y")), (1, 4, (None, "y"))]
+
+
+def test_findings_are_compiled_and_in_order(spark):
+    schema = "import_id bigint, catalog_id bigint, row_number bigint, n_cells int, n_headers int, has_replacement boolean"
+    rows = spark.createDataFrame([(1, 1, 1, 7, 7, True), (1, 1, 2, 6, 7, False)], schema)
+    given = {"sku": "", "name": " ", "price": "1,2,3", "stock": "x", "category": "c" * 200, "description": "", "image_url": "/a"}
+    cells = [F.lit(v).alias(f"{f}_raw") for f, v in given.items()]
+    validated = validate_rows(rows.select("*", *cells, *[F.lit(f).alias(f"col_{f}") for f in FIELDS]), CONTRACT)
+    assert "lambdafunction" not in validated._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.row_number: [f.code for f in r.findings] for r in validated.collect()}
+    assert found == {
+        1: ["missing_required", "missing_required", "price_invalid", "stock_invalid", "field_too_long", "url_invalid", "encoding_replacement"],
+        2: ["columns_mismatch"],
+    }
