@@ -83,3 +83,26 @@ def test_findings_are_compiled_and_in_order(spark):
         1: ["missing_required", "missing_required", "price_invalid", "stock_invalid", "field_too_long", "url_invalid", "encoding_replacement"],
         2: ["columns_mismatch"],
     }
+
+
+def test_rows_are_derived_once_for_all_encodings(spark, tmp_path, monkeypatch):
+    """Files in four encodings are four writes; the window and the join that make their rows are no part of them."""
+    from workload import derive
+
+    lines = [(s, k, 1, 7, 10.0 + k, 99.5, "x") for s in range(5) for k in range(3)] + [(0, 0, 1, 7, 10.0, 99.5, "x")]
+    schema = "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_shipdate string"
+    spark.createDataFrame(lines, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("select 7L p_partkey, 'n' p_name, 'b' p_brand, 't' p_type").write.parquet(str(tmp_path / "part.parquet"))
+    t = derive.Tables(spark, str(tmp_path))
+    found = {}
+
+    def keep(build):
+        rows = build(t)
+        found["plan"] = rows._jdf.queryExecution().optimizedPlan().toString()
+        return rows
+
+    plain = derive.Tables._feed_lines
+    monkeypatch.setattr(derive.Tables, "_feed_lines", lambda self: keep(plain))
+    _, files = t.encoded_files()
+    assert "Window" not in found["plan"] and "Join" not in found["plan"]
+    assert sorted(r.encoding for r in files.collect()) == sorted(["utf-8", "utf-16le", "utf-16be", "windows-1252", "windows-1252"])
