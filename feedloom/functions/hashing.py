@@ -30,6 +30,14 @@ def row_hash(values: dict[str, Column], mapped: dict[str, Column], rules: Rules)
     return F.sha2(F.concat_ws(UNIT_SEPARATOR, *texts), 256)
 
 
+def packed(digest: Column) -> Column:
+    """A digest as bytes, to be moved and compared: two hex digits a byte, or any other text as it is, marked as such."""
+    plain = digest.rlike("\\A(?:[0-9a-f]{2})++\\z")
+    return F.when(plain, F.concat(F.unhex(F.lit("01")), F.unhex(digest))).otherwise(
+        F.concat(F.unhex(F.lit("00")), F.encode(digest, "UTF-8"))
+    )
+
+
 def header_signature(headers: Column, rules: Rules) -> Column:
     if rules.ordered_signature:
         return F.sha2(F.array_join(headers, UNIT_SEPARATOR), 256)

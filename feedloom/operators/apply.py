@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions.hashing import packed
 from feedloom.operators.groups import (
     BLOCK_IMPORTS,
     BLOCK_ROWS,
@@ -26,6 +27,7 @@ from feedloom.session import stage
 KEY = ["catalog_id", "sku"]
 ORDER = ["import_id", "row_number"]
 KEY_ROWS = 100_000  # rows of one key that are sorted at once; keys with more are taken in blocks
+KEY_SLOTS = 1 << 16  # of keys by hash, counted before keys are
 LEDGER_BLOCK = 1000  # row numbers per block when rows are looked up in the ledger
 STORED = 0  # import_id and row_number of a stored product inside a replay
 
@@ -160,21 +162,51 @@ def _key_blocks(rows: DataFrame, offsets: DataFrame | None, block_rows: int) ->
 
 
 def apply_actions(
-    rows: DataFrame, products: DataFrame, offsets: DataFrame | None = None, block_rows: int = BLOCK_ROWS
+    rows: DataFrame, products: DataFrame, hot: DataFrame | None = None, offsets: DataFrame | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Add `action` to each row, given everything loaded before it. `offsets`: see `block_offsets`."""
-    stored = F.lit(STORED).cast("bigint")
-    first = products.select(*KEY, stored.alias("import_id"), stored.alias("row_number"), "row_hash")
-    both, block = _key_blocks(rows.unionByName(first, allowMissingColumns=True), offsets, block_rows)
+    """Add `action` to each row, given everything loaded before it.
+
+    Rows move once, laid out by key; only those of `hot` keys (see `hot_keys`) are taken in blocks. What a row carries besides
+    its key, place and hash moves with it: select what is wanted. `offsets`: see `block_offsets`.
+    """
+    if hot is None:
+        return _actions_together(rows, products)
+    (apart, rest), blocks = _by_heat(rows, products, hot), (offsets, block_rows)
+    return _actions_together(*rest).unionByName(_actions_in_blocks(*apart, *blocks))
+
+
+def _by_heat(rows: DataFrame, products: DataFrame, hot: DataFrame) -> list[list[DataFrame]]:
+    """(rows, products) of hot keys, and of all others."""
+    hot = broadcast_if_small(hot)
+    return [[df.join(hot, KEY, how) for df in (rows, products)] for how in ("left_semi", "left_anti")]
+
+
+def _actions_together(rows: DataFrame, products: DataFrame) -> DataFrame:
+    both = _with_stored(rows, products).withColumn("_digest", packed(F.col("row_hash")))  # half as much to move
+    # A row with no key is no row of a key: such rows only meet others of their block of imports.
+    keyless = F.when(F.col("catalog_id").isNull() | F.col("sku").isNull(), block_of("import_id", BLOCK_IMPORTS))
+    seen = F.lag("_digest").over(Window.partitionBy(*KEY, keyless).orderBy(*ORDER))
+    acting = both.withColumn("_seen", seen).withColumn("action", _action("_digest")).filter(F.col("import_id") > STORED)
+    return acting.drop("_seen", "_digest")
+
+
+def _actions_in_blocks(rows: DataFrame, products: DataFrame, offsets: DataFrame | None, block_rows: int) -> DataFrame:
+    both, block = _key_blocks(_with_stored(rows, products), offsets, block_rows)
     replay = previous_value(both, KEY, block, ORDER, "row_hash", "_seen").filter(F.col("import_id") > STORED).drop("_offset")
     return replay.withColumn("action", _action()).drop("_seen")
 
 
-def _action() -> Column:
+def _with_stored(rows: DataFrame, products: DataFrame) -> DataFrame:
+    stored = F.lit(STORED).cast("bigint")
+    first = products.select(*KEY, stored.alias("import_id"), stored.alias("row_number"), "row_hash")
+    return rows.unionByName(first, allowMissingColumns=True)
+
+
+def _action(digest: str = "row_hash") -> Column:
     """What a row does, told by the hash `_seen` on the row of its key before it."""
     return (
         F.when(F.col("_seen").isNull(), F.lit("create"))
-        .when(F.col("_seen") == F.col("row_hash"), F.lit("skip"))
+        .when(F.col("_seen") == F.col(digest), F.lit("skip"))
         .otherwise(F.lit("update"))
     )
 
@@ -227,8 +259,17 @@ def _replay(actions: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def hot_keys(rows: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame | None:
-    """Keys with more rows than one sort should take, or None where there are none; counted on the map side."""
-    counted = rows.groupBy(*KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") > key_rows)
+    """Keys with more rows than one sort should take, or None where there are none.
+
+    Slots of keys are counted first, which moves a row for each slot and task at most; keys themselves are counted only in
+    slots with that many rows, so none is missed and nearly always none has to be. Pass stored rows.
+    """
+    more = F.col("_n") > key_rows
+    placed = rows.select(*KEY, F.pmod(F.xxhash64(*KEY), F.lit(KEY_SLOTS)).alias("_slot"))
+    full = stage(placed.groupBy("_slot").agg(F.count("*").alias("_n")).filter(more).select("_slot"), "hot-slots")
+    if full.isEmpty():
+        return None
+    counted = placed.join(F.broadcast(full), "_slot", "left_semi").groupBy(*KEY).agg(F.count("*").alias("_n")).filter(more)
     found = stage(counted.select(*KEY), "hot-keys")
     return None if found.isEmpty() else found
 
@@ -244,10 +285,7 @@ def replay(
     """
     if hot is None:
         return _replay_together(rows, products)
-    hot = broadcast_if_small(hot)
-    apart, rest = (
-        [df.join(hot, KEY, how) for df in (rows, products)] for how in ("left_semi", "left_anti")
-    )
+    apart, rest = _by_heat(rows, products, hot)
     return _replay_together(*rest).unionByName(_replay_blocks(*apart, offsets, block_rows))
 
 
@@ -266,7 +304,7 @@ def _replay_together(rows: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def _replay_blocks(rows: DataFrame, products: DataFrame, offsets: DataFrame | None, block_rows: int) -> DataFrame:
-    actions = stage(apply_actions(rows, products, offsets, block_rows), "actions")
+    actions = stage(_actions_in_blocks(rows, products, offsets, block_rows), "actions")
     both, block = _key_blocks(_replay(actions, products), offsets, block_rows)
     writing = previous_written(both, KEY, block, ORDER, WRITES).filter(F.col("import_id") > STORED)
     idle = actions.filter("action = 'skip'").select(*PLAYED)
@@ -310,24 +348,27 @@ def field_changes(
     )
 
 
+# Printable ASCII without a quote or backslash: what JSON writes between quotes as it is.
+_QUOTED_AS_IT_IS = "\\A[ !#-\\[\\]-~]*+\\z"
+
+
 def changes_json(changes: DataFrame) -> DataFrame:
     """The audit row as stored: create {field: value}, update {field: [old, new]}."""
 
-    def text(field: str, value: Column) -> Column:
-        if field in ("price_cents", "stock"):
-            return F.coalesce(value, F.lit("null"))
-        quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), '(?s)\\A\\{"v":(.*)\\}\\z', 1)
-        return F.when(value.isNull(), F.lit("null")).otherwise(quoted)
+    def text(field: Column, value: Column) -> Column:
+        whole = F.to_json(F.struct(value.alias("v")))
+        quoted = F.when(value.rlike(_QUOTED_AS_IT_IS), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(
+            F.substring(whole, F.lit(len('{"v":') + 1), F.length(whole) - len('{"v":}'))
+        )
+        return F.when(value.isNull(), F.lit("null")).when(field.isin("price_cents", "stock"), value).otherwise(quoted)
 
     def member(c: Column) -> Column:
-        shown = F.lit(None).cast("string")
-        for field in PRODUCT_FIELDS:
-            new, old = text(field, c["new"]), text(field, c["old"])
-            value = F.when(F.col("action") == "create", new).otherwise(F.concat(F.lit("["), old, F.lit(","), new, F.lit("]")))
-            shown = F.when(c["field"] == field, F.concat(F.lit(f'"{field}":'), value)).otherwise(shown)
-        return shown
-
-    body = F.array_join(F.transform("changes", member), ",")
+        new, old = text(c["field"], c["new"]), text(c["field"], c["old"])
+        value = F.when(F.col("action") == "create", new).otherwise(F.concat(F.lit("["), old, F.lit(","), new, F.lit("]")))
+        return F.when(c["field"].isin(*PRODUCT_FIELDS), F.concat(F.lit('"'), c["field"], F.lit('":'), value))
+
+    # A row changes each field once at most; taken one by one, because a transformed list is not compiled.
+    body = F.concat_ws(",", *[member(F.get("changes", F.lit(n))) for n in range(len(PRODUCT_FIELDS))])
     return changes.select(
         *ORDER, "batch_number", "sku", "action", F.concat(F.lit("{"), body, F.lit("}")).alias("fields_json")
     )

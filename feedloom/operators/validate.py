@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.csvtext import is_blank_record
@@ -172,8 +172,14 @@ def normalized_rows(validated: DataFrame) -> DataFrame:
 
 
 def duplicate_skus(validated: DataFrame) -> DataFrame:
-    """Valid rows whose SKU an earlier valid row of the same import has; `seen_at` is the latest such row."""
+    """Valid rows whose SKU an earlier valid row of the same import has; `seen_at` is the latest such row.
+
+    Row numbers are looked at first, whether any import is longer than a block; pass stored rows.
+    """
     slim = validated.filter("valid").select("import_id", "row_number", "sku", "has_replacement")
+    if slim.filter(F.col("row_number") >= BLOCK_ROWS).isEmpty():  # nearly always: no block has one before it
+        earlier = F.lag("row_number").over(Window.partitionBy("import_id", "sku").orderBy("row_number"))
+        return slim.withColumn("seen_at", earlier).filter("seen_at is not null")
     return previous_value(
         slim, ["import_id", "sku"], block_of("row_number", BLOCK_ROWS), ["row_number"], "row_number", "seen_at"
     ).filter("seen_at is not null")

@@ -667,9 +667,8 @@ def apply_hot(t):
 
 
 def _merged(t):
-    """As in a load: rows are replayed in one layout by key, and what each of them writes is stored and folded."""
-    written = stage(t.played.select(*load.PLAYED, *load.WRITES), "actions")
-    return load.merged_catalog(written, t.staged_products, lit(APPLIED_AT).cast("timestamp"))
+    """As in a load: rows are replayed in one layout by key, and what each of them writes is folded."""
+    return load.merged_catalog(t.played, t.staged_products, lit(APPLIED_AT).cast("timestamp"))
 
 
 def _dated(products):
@@ -694,7 +693,9 @@ def resume_rows(t):
 @query
 def reimport_noop(t):
     """Every row once more against the loaded catalog: rows that write what is stored change nothing."""
-    return load.apply_actions(t.batched, _merged(t)).select("import_id", "row_number", "sku", "action")
+    hot, offsets = t.hot
+    loaded = _merged(t) if hot is None else stage(_merged(t).select(*load.KEY, "row_hash"), "loaded")  # read twice then
+    return load.apply_actions(t.batched, loaded, hot, offsets).select("import_id", "row_number", "sku", "action")
 
 
 @query
