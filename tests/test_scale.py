@@ -82,3 +82,40 @@ def test_repeated_skus_are_found_in_one_move(spark, monkeypatch):
     found = sorted(map(str, short.collect()))
     monkeypatch.setattr(validate, "BLOCK_ROWS", 4)
     assert sorted(map(str, validate.duplicate_skus(rows).select(*short.columns).collect())) == found and len(found) == 32
+
+
+def test_pages_take_no_file_for_each_list_and_rows_once(spark, tmp_path):
+    from feedloom.sources import pages
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        seen.add(1)
+        return n
+
+    rows = [(i, n, "ab"[n % 2]) for i in range(300) for n in range(1, 12)]
+    df = spark.createDataFrame(rows, "import_id bigint, row_number bigint, code string")
+    once = df.withColumn("row_number", F.udf(count, "bigint")("row_number"))
+    pages.write_pages(once, str(tmp_path / "pages"), "import_id", F.call_function("div", F.col("row_number"), F.lit(4)), ("row_number",), ("code",), 2)
+    assert seen.value == len(rows)
+    assert len(list((tmp_path / "pages" / "rows").rglob("*.parquet"))) <= 8
+    for code, page, size in ((None, 2, 3), (None, 1, 50), ("a", 2, 2), ("b", 3, 2), (None, 9, 3)):
+        own = [n for i, n, c in rows if i == 7 and code in (None, c)]
+        found = pages.read_page(spark, str(tmp_path / "pages"), "import_id", 7, page, size, code=code).collect()
+        assert [r.row_number for r in found] == own[(page - 1) * size : page * size]
+        assert {(r.import_id, r.total) for r in found} <= {(7, len(own))}
+
+
+def test_hashes_move_as_bytes_in_a_dry_run(spark):
+    from feedloom.operators import diff
+
+    rows, products = loads(spark)
+    last = diff.last_wins(rows)
+    want = {(r.import_id, r.catalog_id, r.sku): (r.row_number, r.row_hash) for r in rows.orderBy("import_id", "row_number").collect()}
+    assert {(r.import_id, r.catalog_id, r.sku): (r.row_number, r.row_hash) for r in last.collect()} == want
+    counts = diff.dry_run_counts(diff.dry_run(last, products))
+    assert counts.agg(F.sum("would_create"), F.sum("would_update"), F.sum("would_skip")).first()[:] == tuple(
+        map(sum, zip(*[((s := {(1, "s1"): "01" * 32, (0, "s2"): "odd hash"}.get(k[1:])) is None, s is not None and s != v[1], s == v[1]) for k, v in want.items()]))
+    )
+    moved = [line for line in plan_of(diff.dry_run(last, products).select("import_id", "action")).splitlines() if "Project" in line]
+    assert moved and "_digest" in "".join(moved)
