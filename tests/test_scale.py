@@ -75,6 +75,19 @@ def test_audit_texts_are_json_and_compiled(spark):
         assert json.loads(found.fields_json) == want and list(json.loads(found.fields_json)) == list(want)
 
 
+def test_changed_fields_are_listed_compiled(spark):
+    fields = ", ".join(f"w_{f} struct<v:string>, old_w_{f} struct<v:string>" for f in apply.PRODUCT_FIELDS)
+    row = lambda action, *pairs: (1, 1, 1, 1, "s", action, *[v and (v,) if v != "null" else (None,) for p in pairs for v in p])
+    update = row("update", ("n", "o"), ("1", "1"), (None, "2"), ("null", "c"), ("d", None), ("null", "null"))
+    create = row("create", ("n", None), ("1", None), ("0", None), ("null", None), ("d", None), ("null", None))
+    given = spark.createDataFrame([update, create], f"import_id bigint, row_number bigint, batch_number bigint, catalog_id bigint, sku string, action string, {fields}")
+    found = apply.field_changes(given, given)
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+    listed = {r.action: [tuple(c) for c in r.changes] for r in found.collect()}
+    assert listed["update"] == [("name", "o", "n"), ("category", "c", None), ("description", None, "d")]
+    assert listed["create"] == [("name", None, "n"), ("price_cents", None, "1"), ("stock", None, "0"), ("description", None, "d")]
+
+
 def test_repeated_skus_are_found_in_one_move(spark, monkeypatch):
     rows = stage(spark.createDataFrame([(i, n, f"s{n % 3}", True, False) for i in (1, 2) for n in range(1, 20)], "import_id bigint, row_number bigint, sku string, valid boolean, has_replacement boolean"), "rows")
     short = validate.duplicate_skus(rows)
@@ -119,3 +132,55 @@ def test_hashes_move_as_bytes_in_a_dry_run(spark):
     )
     moved = [line for line in plan_of(diff.dry_run(last, products).select("import_id", "action")).splitlines() if "Project" in line]
     assert moved and "_digest" in "".join(moved)
+
+
+def test_feed_files_take_no_folder_each(spark, tmp_path):
+    from workload import derive
+
+    rows = [(i, n, f"{i};é́€\U0001f600{n}\nx") for i in (*range(600), None) for n in (2, 1, 3)]
+    lines = spark.createDataFrame(rows, "file_id bigint, at int, value string").repartition(5, "file_id").sortWithinPartitions("file_id", "at")
+    for name, codec in ((None, "utf-8"), *derive.ENCODINGS.items()):
+        out = tmp_path / str(name)
+        derive.write_lines(lines, f"file://{out}" if name else str(out), None if name is None else F.lit(name))
+        files = {f.name: f for f in out.rglob("*.csv")}
+        assert set(files) == {f"file_id={i}.csv" for i in (*range(600), "__HIVE_DEFAULT_PARTITION__")}
+        assert not [f for f in out.rglob(".*")] and len({f.parent for f in files.values()}) <= derive.FOLDERS
+        want = "".join(f"77;é́€\U0001f600{n}\nx\n" for n in (1, 2, 3))
+        assert files["file_id=77.csv"].read_bytes() == want.encode(codec, "replace")
+        assert all(name is None or f"encoding={name}" in f.parts for f in map(lambda p: p.relative_to(tmp_path), files.values()))
+
+
+def test_a_listing_is_joined_only_for_empty_files(spark, tmp_path):
+    from feedloom.sources import files
+
+    for n in range(5):
+        (tmp_path / f"{n}.csv").write_text("a" * (n + 1))
+    listed = files.listing(spark, str(tmp_path))
+    assert "Join" not in plan_of(listed) and sorted(r.size for r in listed.collect()) == [1, 2, 3, 4, 5]
+    (tmp_path / "none.csv").write_text("")
+    assert sorted(r.size for r in files.listing(spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_files_are_read_many_to_a_batch(spark, tmp_path):
+    """A value for each file, null where one is gone, ids kept whole; rows went back to Spark one by one."""
+    from feedloom.sources import files
+
+    for n in range(150):
+        (tmp_path / f"{n}.csv").write_bytes(b"x" * n)
+    named = spark.createDataFrame([(f"file://{tmp_path}/{n}.csv", 2**60 + n) for n in range(160)], "path string, import_id bigint").coalesce(1)
+    found = {r.import_id - 2**60: r.size for r in files.with_size(named).collect()}
+    assert found == {n: n if n < 150 else None for n in range(160)}
+
+
+def test_a_report_stores_no_values_of_rows(spark):
+    from feedloom.plans.load import validate_feeds
+    from feedloom.rules import CONTRACT, FIELDS
+
+    rows = [(1, n, cells) for n, cells in enumerate((["sku", "name", "price"], ["a", "b", "1"], ["a", "b", "x"], ["a", "c", "2"], ["", "d�", "3"]), 1)]
+    records = stage(spark.createDataFrame(rows, "import_id bigint, row_number bigint, cells array<string>"), "records")
+    imports = spark.createDataFrame([(1, 1, list(FIELDS[:3]), {f: f for f in FIELDS[:3]})], "import_id bigint, catalog_id bigint, headers array<string>, mapping map<string,string>")
+    whole, alone = (validate_feeds(records, imports, None, CONTRACT, load=load) for load in (True, False))
+    assert "row_hash" in whole.validated.columns and not {"row_hash", "name"} & set(alone.validated.columns)
+    for part in ("report", "totals", "outcomes"):
+        shown = [sorted(map(str, getattr(done, part).collect())) for done in (whole, alone)]
+        assert shown[0] == shown[1] and shown[0]
